@@ -69,3 +69,54 @@ def text_chunks(
                 start, used = i, 0
             used += size
         yield batch.slice(start)
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key of a stream sorted by ``keys``, one batch a key.
+
+    Meant for keys with a bounded number of rows: those of one key are held.
+    """
+    import numpy as np
+
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+        held = batch.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a long, b long); root is the smallest reachable.
+
+    Alternates large and small stars.  A star's centre may hold any share of
+    the rows: its smallest neighbour is a partial aggregate, and the join that
+    follows is one that adaptive execution can split.  Each round is written
+    to the shared folder; only a count and a checksum reach the driver.
+    """
+    from pyspark.sql import functions as F
+
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = None
+    while True:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            break
+        before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
