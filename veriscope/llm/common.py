@@ -46,6 +46,13 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_fs(path: str):
+    """(file system, path in it) of a path in the shared folder, local or remote."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, shared_path, text_chunks
+from .common import materialise, open_fs, partitions, shared_path, text_chunks
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 100
@@ -37,12 +37,6 @@ DATE = "1970-01-01T00:00:00Z"
 _FILES: dict[str, object] = {}
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def url_key(url: str | None) -> str:
     """Sort key of a URL: host labels reversed, then path and query; without a host, the URL after ``)``."""
     text = "" if url is None else "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url)
@@ -131,7 +125,7 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         out, name, at = None, f"records-{uuid.uuid4().hex}.warc.gz", 0
         for batch in text_chunks(batches, "payload", 8 << 20):
             if out is None:
-                fs, root = _fs(path)
+                fs, root = open_fs(path)
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
             lines: list[list] = [[], [], [], [], []]
@@ -170,7 +164,7 @@ def write_index(lines: DataFrame, path: str, block_lines: int = BLOCK_LINES) ->
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    fs, root = _fs(path)
+                    fs, root = open_fs(path)
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 last = row["key"]
@@ -196,7 +190,7 @@ def _open(path: str, name: str):
     if full not in _FILES:
         if len(_FILES) >= 64:
             _FILES.pop(next(iter(_FILES))).close()
-        fs, root = _fs(path)
+        fs, root = open_fs(path)
         _FILES[full] = fs.open_input_file(f"{root}/{name}")
     return _FILES[full]
 
