@@ -77,7 +77,7 @@ def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def signature_table(docs: DataFrame, coordinates: int) -> DataFrame:
-    """(doc_id, n, vid, sig): vid names the class of documents with the same set; null without one."""
+    """(doc_id, th, n, vid, sig): vid names the class of documents with the same set; null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -87,10 +87,10 @@ def signature_table(docs: DataFrame, coordinates: int) -> DataFrame:
                 vid[some] = set_keys(h, bounds).view(np.int64)
                 for i, s in zip(some.tolist(), signatures(h, bounds, coordinates), strict=True):
                     sig[i] = s.tobytes()
-            cols = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(vid, mask=n == 0), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "vid", "sig"])
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), pa.array(vid, mask=n == 0), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "vid", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, vid long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, vid long, sig binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -238,21 +238,8 @@ def verified_edges(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     return _blocks(sets, "root", "m", SET_BLOCK).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Two texts are linked if ``100 * intersection >= percent * union`` of their
-    distinct 5-word shingles (words in A-Z lower case; a text of fewer words
-    is one shingle).  ``component_id`` is the smallest id reachable.
-
-    Rows: null, empty and blank texts have no shingles and are components of
-    their own; rows without an id take no part in linking and get no
-    component, but are kept; of rows that repeat an id, each is linked by its
-    own text.  Other columns are not read.
-    """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _components(plain: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """(doc_id, th, n, component, kept) for every row of ``plain`` (doc_id, text, th)."""
     table = materialise(signature_table(plain, coordinates), "signatures")
     least = match_threshold(coordinates, percent)
     classes = table.where("vid is not null and doc_id is not null").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
@@ -266,6 +253,42 @@ def near_duplicates(
     of = materialise(
         reps.join(named, "node", "left").select(F.col("node").alias("vid"), F.coalesce("component", "rep").alias("component")), "component"
     )
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "vid").join(of, "vid", "left")
+    out = table.select("doc_id", "th", "n", "vid").join(of, "vid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", "n", component.alias("component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two texts are linked if ``100 * intersection >= percent * union`` of their
+    distinct 5-word shingles (words in A-Z lower case; a text of fewer words
+    is one shingle).  ``component_id`` is the smallest id reachable.
+
+    Rows: null, empty and blank texts have no shingles and are components of
+    their own; rows without an id take no part in linking and get no
+    component, but are kept; of rows that repeat an id, each is linked by its
+    own text.  Other columns are not read.
+    """
+    found = _components(_plain(docs, id_col, text_col), percent, coordinates)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def drop_duplicates(
+    docs: DataFrame, percent: int = 80, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep.
+
+    Rows that repeat an id and its text stay or go together.
+    """
+    gone = _components(_plain(docs, id_col, text_col), percent, coordinates).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    same = (docs[id_col].cast("long") == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))
+    return docs.join(gone, same, "left_anti")

@@ -30,6 +30,8 @@ from .common import materialise, partitions, runs, text_chunks
 from .words import Words, split_words
 
 WINDOW = 13
+#: Words of a passage that a corpus should hold once.
+PASSAGE = 50
 #: Bytes of text whose hashes make one bucket; bytes of text of a group.
 BUCKET_BYTES, GROUP_BYTES = 16 << 20, 2 << 20
 _U = np.uint64
