@@ -13,18 +13,24 @@ Skip: of tokens with the same list of documents one is kept; within a list,
 documents that are already connected are not compared again.
 
 What is retained are the groups that collisions connect.  They are verified
-on full sets, every pair of a group, in blocks of bounded size, and links are
-joined to components.  No list of all pairs is made.
+on full sets and links are joined to components.  No list of all pairs is made.
+
+A posting list or group beyond one block is cut into blocks; each is compared
+within, and with a few pivots that meet every block.  That connects nearly all
+of a group of copies.  Only rows left outside the largest tree so far are then
+compared with all others of their list or group, so the work follows a group's
+size and what does not belong to it, and no pair is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, partitions, runs, text_chunks
@@ -33,6 +39,8 @@ from .words import distinct_sets, mix, shingles, split_words
 COORDINATES = 64
 #: Documents of a posting list, and of a verified group, that one task compares.
 LIST_BLOCK, SET_BLOCK = 512, 256
+#: Text of a verified block, and rows of a divided list or group that meet all its blocks.
+SET_BYTES, PIVOTS = 16 << 20, 8
 _U = np.uint64
 
 
@@ -134,52 +142,111 @@ def _collide(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(vid: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array([vid[i] for i, _ in pairs], dtype=np.int64)
-    b = np.array([vid[j] for _, j in pairs], dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+class _Forest:
+    """What a task's edges connect so far; an edge within a tree is not emitted again."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        up, r = self.up, v
+        while (n := up.get(r, r)) != r:
+            r = n
+        while v != r:
+            up[v], v = r, up.get(v, v)
+        return r
+
+    def connected(self, vid: list[int]) -> bool:
+        first = self.root(vid[0])
+        return all(self.root(v) == first for v in vid)
+
+    def join(self, vid: list[int], pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        for i, j in pairs:
+            a, b = self.root(vid[i]), self.root(vid[j])
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                yield vid[i], vid[j]
+
+
+def _edge_batches(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(found, 65536)):
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int64()), pa.array([b for _, b in some], pa.int64())], names=["a", "b"])
+
+
+def _place(i: Column, j: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+
 
+def _first_blocks(rows: DataFrame, key: str, blocks: str, count: str) -> DataFrame:
+    """Each row at its block of the key's ``blocks``; about ``PIVOTS`` rows of a divided key at every block."""
+    own = F.pmod(F.xxhash64("vid"), F.col(blocks))
+    pivot = (F.col(blocks) > 1) & (F.pmod(F.xxhash64("vid", key), F.col(count)) < PIVOTS)
+    at = F.when(pivot, F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda x: _place(x, F.lit(0)))).otherwise(F.array(_place(own, F.lit(0))))
+    return rows.withColumn("p", F.explode(at)).select("*", "p.i", "p.j").drop("p")
 
-def _blocks(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
-    """Deal the rows of a key to blocks of about ``size``, and each row to all pairs of blocks it is in."""
-    n = F.ceil(F.col(count) / F.lit(size)).cast("int")
-    own = F.pmod(F.xxhash64("vid"), n.cast("long")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    p = partitions(rows)
-    return rows.withColumn("p", F.explode(others)).select("*", "p.i", "p.j").drop("p", count).repartition(p, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
+def _rest_blocks(rows: DataFrame, key: str, count: str, size: int, named: DataFrame) -> DataFrame:
+    """Rows of divided keys that are not yet in the key's largest tree, with all rows of the key, in pairs of blocks.
 
-def candidate_edges(classes: DataFrame, least: int, coordinates: int) -> DataFrame:
-    """Edges (a, b) that connect classes whose signatures match in ``least`` coordinates."""
+    ``named`` (vid, tree) are the trees so far.
+    """
+    rows = rows.join(named, "vid", "left").withColumn("tree", F.coalesce("tree", "vid"))
+    trees = rows.groupBy(key, "tree").agg(F.count("*").alias("n"))
+    largest = trees.groupBy(key).agg(F.max_by("tree", F.struct("n", "tree")).alias("top"), (F.sum("n") - F.max("n")).alias("left"))
+    rows = rows.join(largest.where("left > 0"), key).withColumn("out", F.col("tree") != F.col("top"))
+    n_all, n_out = F.ceil(F.col(count) / F.lit(size)), F.ceil(F.col("left") / F.lit(size))
+    of_all, of_out = F.pmod(F.xxhash64("vid"), n_all), F.pmod(F.xxhash64("vid"), n_out)
+    zero = F.lit(0).cast("long")
+    across = F.transform(F.sequence(zero, n_out - 1), lambda x: _place(of_all, x))
+    along = F.transform(F.sequence(zero, n_all - 1), lambda x: _place(x, of_out))
+    at = F.when(F.col("out"), F.array_union(across, along)).otherwise(across)
+    return rows.withColumn("p", F.explode(at)).select("*", "p.i", "p.j").drop("p", "tree", "top", "left", "out")
+
+
+def _trees(edges: DataFrame) -> DataFrame:
+    return connected_components(edges).select(F.col("node").alias("vid"), F.col("root").alias("tree"))
+
+
+def candidate_groups(classes: DataFrame, least: int, coordinates: int) -> DataFrame:
+    """(vid, tree): classes connected by signatures that match in ``least`` coordinates."""
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(shared, "token").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     posted = ranked.where(F.size("t") >= least).select("vid", F.explode(F.slice("t", F.lit(1), F.size("t") - (least - 1))).alias("t"))
     posted = materialise(posted.select("vid", "t.token"), "postings")
     lists = posted.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("vid")).alias("x"), F.min("vid").alias("v")).where("df > 1")
-    lists = lists.groupBy("df", "x", "v").agg(F.min("token").alias("token")).select("token", "df")
-    kept = posted.join(lists, "token").join(classes.select("vid", "sig"), "vid")
+    lists = lists.groupBy("df", "x", "v").agg(F.min("token").alias("token"))
+    # a power of two, so that lists of like length are cut alike
+    blocks = F.when(F.col("df") <= LIST_BLOCK, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / LIST_BLOCK)))).cast("long")
+    kept = materialise(posted.join(lists.select("token", "df", "v", blocks.alias("blocks")), "token"), "lists")
+    signed = classes.select("vid", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vids: list[np.ndarray] = []
-        for part in runs(batches, ["token", "i", "j"]):
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=_U).reshape(part.num_rows, coordinates)
-            pairs = _collide(sig.astype(np.uint32), least)
-            if pairs:
-                vid = part.column("vid").to_numpy()
-                vids.append(vid[np.array(pairs)])
-            if len(vids) >= 4096:
-                yield _pairs(vids)
-                vids = []
-        if vids:
-            yield _pairs(vids)
+        forest = _Forest()
 
-    return _blocks(kept, "token", "df", LIST_BLOCK).mapInArrow(run, "a long, b long")
+        def found() -> Iterator[tuple[int, int]]:
+            for part in runs(batches, ["v", "i", "j", "token"]):
+                vid = part.column("vid").to_pylist()
+                if len(vid) > 1 and not forest.connected(vid):
+                    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=_U).reshape(len(vid), coordinates)
+                    yield from forest.join(vid, _collide(sig.astype(np.uint32), least))
 
+        return _edge_batches(found())
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.concatenate(found)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+    def compare(placed: DataFrame) -> DataFrame:
+        # lists of one group tend to have the same smallest member: side by side, they repeat few edges
+        keys = ["v", "i", "j"]
+        rows = placed.select("token", "v", "vid", "i", "j").join(signed, "vid")
+        return materialise(rows.repartition(partitions(rows), *keys).sortWithinPartitions(*keys, "token").mapInArrow(run, "a long, b long"), "collisions")
+
+    edges = compare(_first_blocks(kept, "token", "blocks", "df"))
+    trees = _trees(edges)
+    long = kept.where("blocks > 1")
+    if not long.isEmpty():
+        more = compare(_rest_blocks(long, "token", "df", LIST_BLOCK, trees))
+        if not more.isEmpty():
+            trees = _trees(edges.union(more))
+    return trees
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,36 +273,45 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the linked classes of each group of ``members`` (doc_id, vid, root)."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    text = docs.join(members.join(sizes, "root"), "doc_id")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            _, some, h, bounds = _sets(batch.column("text").to_pylist())
-            if not len(some):
-                continue
-            keys = set_keys(h, bounds).view(np.int64)
-            right = keys == batch.column("vid").to_numpy()[some]  # of rows that repeat an id, the class's own
-            sets = [h[a:b].tobytes() for a, b, r in zip(bounds[:-1], bounds[1:], right, strict=True) if r]
-            rows = batch.select(["root", "vid", "m"]).take(pa.array(some[right]))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sets, pa.binary())], names=["root", "vid", "m", "shingles"])
+def verified_trees(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(vid, tree): linked classes of the candidate groups of ``members`` (doc_id, vid, tree)."""
+    rows = members.withColumnRenamed("tree", "root")
+    sized = rows.join(docs.select("doc_id", F.length("text").alias("size")), "doc_id").groupBy("root", "vid").agg(F.max("size").alias("size"))
+    sizes = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("m") / SET_BLOCK), F.ceil(F.col("size") / SET_BYTES))
+    rows = materialise(rows.join(sizes.select("root", "m", F.least(F.col("m"), blocks).alias("blocks")), "root"), "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ["root", "i", "j"]):
-            vid, at = np.unique(part.column("vid").to_numpy(), return_index=True)
-            raw = part.column("shingles")
-            sets = [np.frombuffer(raw[int(i)].as_py(), dtype=_U) for i in at]
-            if len(sets) < 2:
-                continue
-            both, n = overlaps(sets), np.array([len(s) for s in sets], dtype=np.int64)
-            pairs = _forest(100 * both >= percent * (n[:, None] + n[None, :] - both))
-            if pairs:
-                yield _edges(vid, pairs)
-
-    sets = text.mapInArrow(to_sets, "root long, vid long, m long, shingles binary")
-    return _blocks(sets, "root", "m", SET_BLOCK).mapInArrow(run, "a long, b long")
+        def found() -> Iterator[tuple[int, int]]:
+            for part in runs(batches, ["root", "i", "j"]):
+                _, some, h, bounds = _sets(part.column("text").to_pylist())
+                if not len(some):
+                    continue
+                keys, vid = set_keys(h, bounds).view(np.int64), part.column("vid").to_numpy()[some]
+                # of rows that repeat an id, the class's own; of rows that repeat, one
+                at = np.flatnonzero(keys == vid)
+                at = at[np.unique(vid[at], return_index=True)[1]]
+                if len(at) > 1:
+                    sets = [h[bounds[k] : bounds[k + 1]] for k in at.tolist()]
+                    n, both = np.array([len(x) for x in sets], dtype=np.int64), overlaps(sets)
+                    own = vid[at].tolist()
+                    yield from ((own[i], own[j]) for i, j in _forest(100 * both >= percent * (n[:, None] + n[None, :] - both)))
+
+        return _edge_batches(found())
+
+    def compare(placed: DataFrame) -> DataFrame:
+        keys = ["root", "i", "j"]
+        text = placed.select("doc_id", "vid", *keys).join(docs.select("doc_id", "text"), "doc_id")
+        return materialise(text.repartition(partitions(text), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"), "links")
+
+    edges = compare(_first_blocks(rows, "root", "blocks", "m"))
+    trees = _trees(edges)
+    large = rows.where("blocks > 1")
+    if not large.isEmpty():
+        more = compare(_rest_blocks(large, "root", "m", SET_BLOCK, trees))
+        if not more.isEmpty():
+            trees = _trees(edges.union(more))
+    return trees
 
 
 def _components(plain: DataFrame, percent: int, coordinates: int) -> DataFrame:
@@ -244,14 +320,13 @@ def _components(plain: DataFrame, percent: int, coordinates: int) -> DataFrame:
     least = match_threshold(coordinates, percent)
     classes = table.where("vid is not null and doc_id is not null").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
-    groups = connected_components(candidate_edges(classes, least, coordinates))
-    members = groups.join(classes.select(F.col("vid").alias("node"), "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("vid"), "root")
-    found = connected_components(verified_edges(plain, materialise(members, "members"), percent))
-    reps = classes.select(F.col("vid").alias("node"), "rep")
-    named = found.join(reps, "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
+    reps = classes.select("vid", "rep")
+    groups = candidate_groups(classes, least, coordinates)
+    members = groups.join(reps, "vid").select(F.col("rep").alias("doc_id"), "vid", "tree")
+    named = verified_trees(plain, materialise(members, "members"), percent).join(reps, "vid")
+    named = named.join(named.groupBy("tree").agg(F.min("rep").alias("component")), "tree").select("vid", "component")
     of = materialise(
-        reps.join(named, "node", "left").select(F.col("node").alias("vid"), F.coalesce("component", "rep").alias("component")), "component"
+        reps.join(named, "vid", "left").select("vid", F.coalesce("component", "rep").alias("component")), "component"
     )
     out = table.select("doc_id", "th", "n", "vid").join(of, "vid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
