@@ -18,6 +18,7 @@ group, and no task holds more than a bucket or a group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ _U = np.uint64
 
 def _group(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    codec = pa.Codec("zstd", compression_level=6)  # a group is written once and moves twice
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -105,10 +107,21 @@ def _least_docs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids as compressed differences: they go to every bucket."""
+    return zlib.compress(np.diff(ids, prepend=np.int64(0)).tobytes(), 6)
+
+
+def _unpack_ids(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype=np.int64))
+
+
 def _deal(gid: int, buckets: int, h: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket in which the group has hashes; documents as places in the group's list of ids."""
     ids, low = np.unique(np.concatenate([least, most]), return_inverse=True)
-    low, high = low[: len(h)].astype(np.uint32), low[len(h) :].astype(np.uint32)
+    low, high = low[: len(h)], low[len(h) :]
+    kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+    names = _pack_ids(ids)
     b = (h % _U(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     b = b[order]
@@ -120,9 +133,9 @@ def _deal(gid: int, buckets: int, h: np.ndarray, least: np.ndarray, most: np.nda
         pa.array(np.full(len(cut), gid, dtype=np.int64)),
         pa.array(b[first].astype(np.int32)),
         pa.array([h[c].tobytes() for c in cut], pa.binary()),
-        pa.array([low[c].tobytes() for c in cut], pa.binary()),
-        pa.array([(high[c] != low[c]).tobytes() for c in cut], pa.binary()),
-        pa.array([ids.tobytes()] * len(cut), pa.binary()),
+        pa.array([low[c].astype(kind).tobytes() for c in cut], pa.binary()),
+        pa.array([np.packbits(high[c] != low[c]).tobytes() for c in cut], pa.binary()),
+        pa.array([names] * len(cut), pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(cols, names=["gid", "bucket", "h", "low", "many", "ids"])
 
@@ -138,9 +151,10 @@ def _settle(dealt: DataFrame, smaller: bool) -> DataFrame:
             gids = part.column("gid").to_pylist()
             hs = [np.frombuffer(x, dtype=_U) for x in part.column("h").to_pylist()]
             lows, many = part.column("low").to_pylist(), part.column("many").to_pylist()
-            docs = [np.frombuffer(i, dtype=np.int64)[np.frombuffer(x, dtype=np.uint32)] for i, x in zip(part.column("ids").to_pylist(), lows, strict=True)]
+            kinds = [np.uint16 if len(x) == 2 * len(k) else np.uint32 for x, k in zip(lows, hs, strict=True)]
+            docs = [_unpack_ids(i)[np.frombuffer(x, dtype=k)] for i, x, k in zip(part.column("ids").to_pylist(), lows, kinds, strict=True)]
             h, doc = np.concatenate(hs), np.concatenate(docs)
-            inside = np.concatenate([np.frombuffer(x, dtype=bool) for x in many])
+            inside = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(many, hs, strict=True)])
             known, least, most = _least_docs(h, doc)
             at = np.searchsorted(known, h)
             if smaller:
