@@ -8,7 +8,8 @@ how often that bit was right for that language on the training rows.  The
 nearest codeword wins; where the runner-up is close, the row is ambiguous.
 
 The classifiers are fitted on at most ``per_language`` labelled rows of each
-language, those of least hash.  Whole texts are used, there and in prediction.
+language, those of least hash, repeated rows once.  Whole texts are used, there and in
+prediction.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PER_LANGUAGE = 4000
 ORDERS, SLOTS = (1, 2, 3), 1 << 16
 #: n-grams after which more text adds no certainty; a score below which a row is ambiguous.
 EVIDENCE, SURE = 60.0, 0.75
+#: Bytes of text whose n-grams a task holds at once.
+SLICE = 1 << 19
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -153,13 +156,18 @@ def fit(spark: SparkSession, labelled: DataFrame, per_language: int = PER_LANGUA
     The driver gets sums by language and slot, and a row a language.
     """
     known = labelled.where("lang is not null and text is not null")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = known.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_language).select("lang", "text")
-    sample = materialise(sample, "labelled")
+    # a threshold on the hash keeps about twice the rows that are wanted; only those move
+    shares = [(r["lang"], min(1.0, 2 * per_language / r["count"])) for r in known.groupBy("lang").count().collect()]
+    least = F.create_map(*[F.lit(x) for lang, share in shares for x in (lang, int(share * (1 << 32)))])
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")) if shares else known.select("lang", "text", F.lit(0).cast("long").alias("h"))
+    near = hashed.where(F.pmod("h", F.lit(1 << 32)) < least[F.col("lang")]) if shares else hashed
+    pick = Window.partitionBy("lang").orderBy("h")
+    sample = near.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(pick)).where(F.col("r") <= per_language)
+    sample = materialise(sample.select("lang", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=SLICE):
             slots, own = features(batch.column("text").to_pylist())
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in set(langs.tolist()):
@@ -192,7 +200,7 @@ def _right(spark: SparkSession, sample: DataFrame, model: Model) -> dict[str, tu
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         row = {x: i for i, x in enumerate(m.languages)}
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=SLICE):
             langs = batch.column("lang").to_pylist()
             ok = m.margins(batch.column("text").to_pylist()) * m.code[[row[x] for x in langs]] > 0
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(list(ok.astype(np.int64)), pa.list_(pa.int64()))], names=["lang", "ok"])
@@ -216,7 +224,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "__text"):
+        for batch in text_chunks(batches, "__text", SLICE):
             lang, score, ambiguous, second = shared.value.predict(batch.column("__text").to_pylist())
             cols = [*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(ambiguous), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *made])
