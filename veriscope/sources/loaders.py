@@ -100,7 +100,7 @@ def hotpot_from(rows: DataFrame) -> Dataset:
     questions = rows.join(gold, "_id", "left").select(
         F.col("_id").alias("external_id"), "question", "answer", F.col("type").alias("question_type"), F.coalesce("gold_evidence", F.array().cast(EVIDENCE)).alias("gold_evidence")
     )
-    orphan = per.join(docs, F.col("title") == docs["external_id"], "left_anti").groupBy(F.col("_id").alias("external_id")).agg(F.count("*").alias("n"))
+    orphan = per.join(docs.select("title"), "title", "left_anti").groupBy(F.col("_id").alias("external_id")).agg(F.count("*").alias("n"))
     return Dataset("hotpotqa", docs, questions, orphan)
 
 
