@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL cannot express these stages; tests/llm holds them against brute force.
+#: SQL cannot express these stages; tests/llm holds their operators against brute force.
 ORACLE_SQL = None
 
 
