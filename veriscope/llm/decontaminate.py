@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Each benchmark item of n words is looked for in windows of n words.  A window
-and an item have a SimHash of their 5-word shingles, each weighted by its
-number there.  Fingerprints meet in a multi-index: they are cut into blocks,
+and an item have a SimHash of their 5-word shingles, in which the k-th
+occurrence of a shingle is a feature of its own, so that the angle depends on
+the weighted Jaccard similarity however often a shingle repeats.  Fingerprints meet in a multi-index: they are cut into blocks,
 and two within ``RADIUS`` bits must be within ``BLOCK_RADIUS`` bits in one of
 the blocks, so the union of the blocks' lists holds all fingerprints within
 the radius.  Pairs within it are verified by the exact weighted Jaccard
@@ -45,6 +46,49 @@ def _bit_rows(h: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+def _features(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The feature of the k-th occurrence (from 1) of each shingle."""
+    return np.where(k > 1, mix(h + k.astype(_U) * _U(0xA0761D6478BD642F)), h)
+
+
+def _occurrences(h: np.ndarray, run: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entering, leaving): of each place, its shingle's number in the window that ends there, and in the one that starts there.
+
+    ``run`` numbers the stretches that no window crosses; ``length`` is their windows' length.
+    """
+    n = len(h)
+    at = np.arange(n)
+    first, last = np.searchsorted(run, run), np.searchsorted(run, run, side="right") - 1
+    order = np.argsort(h, kind="stable")
+    group = np.zeros(n, dtype=np.int64)
+    group[order[1:]] = np.cumsum(h[order[1:]] != h[order[:-1]])
+    key, place = group[order] * n + order, np.zeros(n, dtype=np.int64)
+    place[order] = at
+    entering = place - np.searchsorted(key, group * n + np.maximum(first, at - length + 1)) + 1
+    leaving = np.searchsorted(key, group * n + np.minimum(last, at + length - 1), side="right") - place
+    return entering, leaving
+
+
+def window_sums(h: np.ndarray, run: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bit sums of the features of the windows that start at the places ``at``.
+
+    A window one place on gains the last occurrence of the shingle that enters
+    and loses the last one of that which leaves.
+    """
+    entering, leaving = _occurrences(h, run, length)
+    rows = _bit_rows(_features(h, entering))
+    gained = np.zeros((len(h) + 1, BITS), dtype=np.int32)
+    np.cumsum(rows, axis=0, out=gained[1:])
+    other = entering != leaving
+    if not other.any():
+        return gained[at + length[at]] - gained[at]
+    rows[other] = _bit_rows(_features(h[other], leaving[other]))
+    lost = np.zeros((len(h) + 1, BITS), dtype=np.int32)
+    np.cumsum(rows, axis=0, out=lost[1:])
+    start = np.searchsorted(run, run[at])
+    return gained[at + length[at]] - lost[at] - (gained[start] - lost[start])
+
+
 def _masks(radius: int) -> np.ndarray:
     """All values of a block with at most ``radius`` bits set."""
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BLOCK), r)], dtype=np.int64)
@@ -129,7 +173,8 @@ def make_items(rows: list[tuple[int, str | None]]) -> list[Item]:
             continue
         h, _ = shingles(w)
         distinct, counts = np.unique(h, return_counts=True)
-        sums = _bit_rows(h).sum(axis=0, dtype=np.int64)[None]
+        nth = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+        sums = _bit_rows(_features(np.repeat(distinct, counts), nth)).sum(axis=0, dtype=np.int64)[None]
         out.append(Item(item_id, len(w.hashes), distinct, counts, len(h), fingerprints(sums)[0]))
     return out
 
@@ -178,10 +223,10 @@ def search(index: Index, texts: list[str | None], percent: int = PERCENT) -> lis
             np.add.at(edge, part - part[0], 1)
             np.add.at(edge, part + length - part[0], -1)
             need = np.flatnonzero(np.cumsum(edge[:-1]) > 0) + part[0]
-            sums = np.zeros((len(need) + 1, BITS), dtype=np.int32)
-            np.cumsum(_bit_rows(h[need]), axis=0, out=sums[1:])
-            at = np.searchsorted(need, part)
-            window, item = index.candidates(size, fingerprints(sums[at + length] - sums[at]))
+            run = np.zeros(len(need), dtype=np.int64)
+            np.cumsum((np.diff(need) > 1) | (np.diff(doc_of[need]) > 0), out=run[1:])
+            sums = window_sums(h[need], run, np.minimum(size - 4, n_shingles[doc_of[need]]), np.searchsorted(need, part))
+            window, item = index.candidates(size, fingerprints(sums))
             for i in np.unique(item).tolist():
                 mine = window[item == i]
                 _verify(index.items[i], h, part[mine], length[mine], doc_of, bounds, hits, percent)
