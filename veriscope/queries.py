@@ -19,7 +19,7 @@ from .sources import loaders, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 KS = [1, 3, 5, 10]
-REPLICATES = 400
+REPLICATES = X.REPLICATES
 
 
 def query(sql: str | None = None) -> Callable:
