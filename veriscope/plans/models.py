@@ -7,6 +7,7 @@ text, which every operator counts as a failed call.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -22,6 +23,10 @@ class Provider(Protocol):
     def __call__(self, prompts: DataFrame) -> DataFrame: ...
 
 
+#: From (question_id, question, clarifying) to (question_id, reply).
+User = Callable[[DataFrame], DataFrame]
+
+
 class Canned:
     """Completions that are there already."""
 
@@ -77,6 +82,27 @@ class Embedder:
         return rows.mapInPandas(run, schema)
 
 
+class Scorer:
+    """Scores of passages by a cross-encoder: a function of (model, question, passages), called once a question."""
+
+    def __init__(self, call: Callable[[str, str, list[str]], list[float]]) -> None:
+        self.call = call
+
+    def __call__(self, pairs: DataFrame, model: str) -> DataFrame:
+        """(question_id, chunk_id, score) of (question_id, chunk_id, rank, question, text); missing scores and NaN are errors."""
+        call = self.call
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("rank")
+            scores = [float(x) for x in call(model, frame.question.iloc[0], frame.text.tolist())]
+            if len(scores) != len(frame) or any(map(math.isnan, scores)):
+                raise ValueError(f"{model} gave {len(scores)} scores for {len(frame)} passages, or NaN")
+            return frame[["question_id", "chunk_id"]].assign(score=scores)
+
+        kinds = dict(pairs.dtypes)
+        return pairs.groupBy("question_id").applyInPandas(run, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, score double")
+
+
 def usage(completions: DataFrame) -> DataFrame:
     """Calls and tokens of each role, from rows and not from accumulators, which retried tasks count twice."""
     return completions.groupBy("role").agg(

@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from .config import Config
-from .models import Embedder, Provider
+from .models import Embedder, Provider, Scorer, User
 
 # What the query techniques ask.
 REWRITE = "Rewrite the question as a short search query. Reply with the query only.\n\nQuestion: {question}\n\nQuery:"
 DECOMPOSE = "Split the question into at most {n} simpler search queries, one per line.\n\nQuestion: {question}\n\nQueries:"
 HYDE = "Write a short passage that could answer the question.\n\nQuestion: {question}\n\nPassage:"
+CLARIFY = (
+    "A user asked a search assistant the question below. These are the articles the first search found (source, date, title):\n{candidates}\n\n"
+    "If the question clearly identifies which articles are needed, reply exactly: NONE\nOtherwise, ask the user one short clarifying question "
+    "that would help pick the right articles.\nReply with NONE or with the question only.\n\nQuestion: {question}\n\nReply:"
+)
+USER = (
+    "You asked a search assistant the question below. You know which articles you have in mind, but you do not know the answer.\n\n"
+    "Your question: {question}\n\nThe articles you have in mind:\n{articles}\n\nThe assistant asks you: {clarifying}\n\n"
+    "Reply in one short sentence, only with what you know about which articles you mean. Never answer your own question.\n\nReply:"
+)
 GRADE = "Grade from 0 to 3 how useful the passage is for the question. Reply with one digit.\n\nQuestion: {question}\n\nPassage:\n{passage}\n\nGrade:"
 
 
@@ -55,12 +65,63 @@ def search(index: Index, questions: DataFrame, config: Config, k: int) -> DataFr
     return runs[0] if len(runs) == 1 else R.fuse(runs, k, r.rrf_k)
 
 
-def retrieve(index: Index, questions: DataFrame, config: Config, provider: Provider | None = None) -> DataFrame:
-    """(question_id, chunk_id, document_id, text, score, rank) in the order rewrite, HyDE, search, sub-queries, rerank, cap, cut, threshold.
+def _header(text, name: str):
+    """The last value of a header's field in the first four lines of a passage, or null."""
+    lines = F.filter(F.slice(T._lines(text), 1, 4), lambda x: x.startswith(f"{name}: "))
+    return F.substring(F.try_element_at(lines, F.lit(-1)), F.lit(len(name) + 3), F.length(text))
 
-    A technique whose call fails falls back to the question itself.
+
+def candidate_lines(ranking: DataFrame, most: int = 8) -> DataFrame:
+    """(question_id, candidates): source, date and title of the best documents of a ranking with texts, a line each."""
+    best = R.renumber(ranking.groupBy("question_id", "document_id").agg(F.min(F.struct("rank", "text")).alias("b")).select("question_id", F.col("b.rank").alias("rank"), "b.text"))
+    date = F.substring(F.coalesce(_header(F.col("text"), "Published"), F.lit("")), 1, 10)
+    source, title = (F.coalesce(_header(F.col("text"), x), F.lit("?")) for x in ("Source", "Title"))
+    line = F.struct("rank", F.concat(F.lit("- "), source, F.lit(", "), date, F.lit(": "), title).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return best.where(F.col("rank") <= most).groupBy("question_id").agg(F.array_join(lines, "\n").alias("candidates"))
+
+
+def simulated_user(provider: Provider, articles: DataFrame) -> User:
+    """Replies by a model that knows the ``articles`` (question_id, title, source, published_at) of a question but not its answer."""
+    line = F.concat(F.lit("- "), F.coalesce("source", F.lit("?")), F.lit(", "), F.substring(F.coalesce(F.col("published_at").cast("string"), F.lit("")), 1, 10), F.lit(": "), F.coalesce("title", F.lit("?")))
+    known = articles.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("articles"))
+
+    def reply(asked: DataFrame) -> DataFrame:
+        rows = asked.join(known, "question_id", "left").withColumn("articles", F.coalesce("articles", F.lit("- (no specific article)")))
+        prompt = _filled(USER, question=F.col("question"), articles=F.col("articles"), clarifying=F.col("clarifying"))
+        return _ask(provider, rows, "simulated_user", ["question_id"], prompt).select("question_id", "reply")
+
+    return reply
+
+
+def _clarified(index: Index, ranking: DataFrame, questions: DataFrame, config: Config, provider: Provider, user: User) -> DataFrame:
+    """``ranking``, fused with that of question and reply where the user was asked and replied."""
+    r, pool = config.retrieval, config.retrieval.pool_size()
+    lines = candidate_lines(ranking.join(index.chunks.select("chunk_id", "document_id", "text"), "chunk_id"))
+    rows = questions.select("question_id", F.col("text").alias("question")).join(lines, "question_id")
+    made = _ask(provider, rows, "clarifier", ["question_id"], _filled(CLARIFY, candidates=F.col("candidates"), question=F.col("question")))
+    asked = made.where(T.wants_clarification(F.col("reply"))).select("question_id", "question", T.strip(F.col("reply")).alias("clarifying"))
+    replies = user(asked).select("question_id", T.strip(F.col("reply")).alias("reply")).where("reply <> ''")
+    # kept, so that both parts below see the same replies
+    more = asked.join(replies, "question_id").select("question_id", F.concat_ws(" ", "question", "reply").alias("text")).persist()
+    first = ranking.join(more.select("question_id"), "question_id", "left_semi")
+    fused = R.fuse([first, search(index, more, config, pool)], pool, r.rrf_k)
+    return ranking.join(more.select("question_id"), "question_id", "left_anti").select("question_id", "chunk_id", "score", "rank").unionByName(fused)
+
+
+def retrieve(
+    index: Index, questions: DataFrame, config: Config, provider: Provider | None = None, user: User | None = None, scorer: Scorer | None = None
+) -> DataFrame:
+    """(question_id, chunk_id, document_id, text, score, rank) in the order rewrite, HyDE, search, clarification, sub-queries, rerank, cap, cut, threshold.
+
+    A technique whose call fails falls back to the question itself.  ``clarify``
+    needs a ``user`` who replies, ``rerank=cross_encoder`` a ``scorer``.
     """
     r = config.retrieval
+    if r.clarify and user is None:
+        raise ValueError("clarify needs a user who replies")
+    if r.rerank == "cross_encoder" and scorer is None:
+        raise ValueError("rerank=cross_encoder needs a scorer")
     pool = r.pool_size()
     asked = questions
     if r.query_rewrite:
@@ -70,6 +131,8 @@ def retrieve(index: Index, questions: DataFrame, config: Config, provider: Provi
         asked = _ask(provider, asked, "hyde", ["question_id"], _filled(HYDE, question=F.col("text")))
         asked = asked.withColumn("dense_text", F.nullif(T.strip(F.col("reply")), F.lit(""))).drop("reply", "vector")
     ranking = search(index, asked, config, pool)
+    if r.clarify:
+        ranking = _clarified(index, ranking, questions, config, provider, user)
     if r.query_decompose:
         subs = _ask(provider, asked, "decomposer", ["question_id"], _filled(DECOMPOSE.replace("{n}", str(r.max_sub_queries)), question=F.col("text")))
         subs = subs.select("question_id", F.posexplode(T.sub_queries(F.coalesce("reply", F.lit("")), r.max_sub_queries)).alias("n", "text"))
@@ -80,7 +143,11 @@ def retrieve(index: Index, questions: DataFrame, config: Config, provider: Provi
     # texts join once candidates are few
     ranking = ranking.join(index.chunks.select("chunk_id", "document_id", "text"), "chunk_id")
     ranking = ranking.withColumn("dense_score", F.col("score"))
-    if r.rerank != "none":
+    if r.rerank == "cross_encoder":
+        pairs = ranking.select("question_id", "chunk_id", "rank", "text").join(questions.select("question_id", F.col("text").alias("question")), "question_id")
+        ranking = R.rerank(ranking, scorer(pairs, r.rerank_model).select("question_id", "chunk_id", F.col("score").alias("grade")))
+        ranking = ranking.withColumn("score", F.col("grade")).drop("grade")
+    elif r.rerank == "llm":
         prompt = _filled(GRADE, question=F.col("question"), passage=F.substring("text", 1, 2000))
         graded = _ask(provider, ranking.join(questions.select("question_id", F.col("text").alias("question")), "question_id"), "reranker", ["question_id", "chunk_id"], prompt)
         ranking = R.rerank(ranking, graded.select("question_id", "chunk_id", T.rerank_grade(F.col("reply")).alias("grade")))
@@ -111,9 +178,9 @@ def generate(questions: DataFrame, ranking: DataFrame | None, config: Config, pr
     return made.unionByName(none).withColumn("abstained", T.abstained(F.col("answer")))
 
 
-def campaign(index: Index, questions: DataFrame, config: Config, provider: Provider, run_id: int) -> DataFrame:
+def campaign(index: Index, questions: DataFrame, config: Config, provider: Provider, run_id: int, user: User | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Predictions of a run: contexts in rank order, answer, abstention, error."""
-    ranking = None if config.generation.prompt_template == "closed_book" else retrieve(index, questions, config, provider)
+    ranking = None if config.generation.prompt_template == "closed_book" else retrieve(index, questions, config, provider, user, scorer)
     made = generate(questions, ranking, config, provider)
     if ranking is None:
         empty = "array<struct<rank: int, chunk_id: bigint, document_external_id: string, text: string, score: double>>"
