@@ -6,7 +6,9 @@ in preformatted text, blocks stand apart, lists are indented and numbered, and
 the cells of a table's columns are aligned.  Hidden are what stands in the
 head, in scripts, styles, templates and the like, elements with ``hidden`` or
 an inline style that hides them, and elements that a page's own style sheet
-hides by a plain tag, class or id selector.
+hides by a plain tag, class or id selector on a screen of usual size; rules of
+such selectors override one another by importance, specificity and order.
+Longer selectors are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +51,12 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([\w -]+?)\s*(!\s*important\s*)?", re.I)
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+#: The screen that media queries are held against, in pixels, and the features it has.
+SCREEN = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0}
+TRAITS = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled"}
+_UNITS = {"": 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "in": 96.0, "cm": 96 / 2.54, "mm": 9.6 / 2.54}
 _SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
 _CUT = {
     # an opening tag, the open elements that it closes, and those that stop the search
@@ -176,7 +182,8 @@ def parse(text: str) -> tuple[Node, str]:
             inner = text[pos : end.start() if end else len(text)]
             pos = end.end() if end else len(text)
             if tag == "style":
-                sheets.append(inner)
+                if on_screen(attrs.get("media", "")):
+                    sheets.append(inner)
             elif tag in RCDATA:
                 node.children.append(html.unescape(inner))
             elif tag == "xmp":
@@ -193,24 +200,115 @@ def _open(tag: str, parent: Node) -> Node:
     return node
 
 
-def hidden_by(sheets: str) -> frozenset[str]:
-    """Plain selectors (tag, .class, #id) that a style sheet hides."""
-    sheets = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheets, flags=re.S)
-    out = set()
-    for m in _RULE.finditer(sheets):
-        if _HIDES.search(m[2]):
-            out.update(s.strip() if s.strip()[:1] in ".#" else s.strip().lower() for s in m[1].split(",") if _SIMPLE.fullmatch(s.strip()))
-    return frozenset(out)
+def _length(text: str) -> float | None:
+    m = re.fullmatch(r"([+-]?(?:\d+\.?\d*|\.\d+))([a-z]*)", text.strip())
+    return float(m[1]) * _UNITS[m[2]] if m and m[2] in _UNITS else None
+
+
+def _feature(text: str) -> bool | None:
+    """Whether the screen has a media feature; null if it is not known."""
+    name, colon, value = (x.strip() for x in text.partition(":"))
+    if colon:
+        bound, _, size = name.partition("-")
+        if bound in ("min", "max") and size in SCREEN:
+            limit = _length(value)
+            return None if limit is None else SCREEN[size] >= limit if bound == "min" else SCREEN[size] <= limit
+        if name in SCREEN:
+            return _length(value) == SCREEN[name]
+        return TRAITS[name] == value if name in TRAITS else None
+    parts = [x.strip() for x in re.split(r"(<=|>=|<|>|=)", text)]
+    if len(parts) == 1:
+        return True if parts[0] in SCREEN else TRAITS[parts[0]] not in ("none", "no-preference") if parts[0] in TRAITS else None
+    values = [SCREEN[x] if x in SCREEN else _length(x) for x in parts[::2]]
+    if None in values:
+        return None
+    how = {"<=": float.__le__, ">=": float.__ge__, "<": float.__lt__, ">": float.__gt__, "=": float.__eq__}
+    return all(how[o](x, y) for x, o, y in zip(values, parts[1::2], values[1:]))
+
+
+def on_screen(queries: str) -> bool:
+    """Whether a list of media queries holds for a screen of usual size; a query that is not understood does not."""
+    if not queries.strip():
+        return True
+    for query in queries.lower().split(","):
+        m = re.fullmatch(r"\s*(not\s+|only\s+)?([a-z-]+)?\s*((?:(?:\band\b)?\s*\([^()]*\)\s*)*)", query)
+        if not m or not (m[2] or m[3].strip()):
+            continue
+        held = [m[2] in (None, "all", "screen"), *map(_feature, re.findall(r"\(([^()]*)\)", m[3]))]
+        if None not in held and all(held) != bool(m[1] and m[1].startswith("not")):
+            return True
+    return False
+
+
+def _declared(text: str, rank: int, order: int) -> dict[str, tuple[bool, int, int, bool]]:
+    """What declarations say of display and visibility: (important, rank, order, hides), the one that wins."""
+    out: dict[str, tuple[bool, int, int, bool]] = {}
+    for part in text.split(";"):
+        if m := _DECLARED.fullmatch(part):
+            name, value = m[1].lower(), m[2].lower()
+            said = (bool(m[3]), rank, order, value == "none" if name == "display" else value in ("hidden", "collapse"))
+            if name not in out or said[:3] >= out[name][:3]:
+                out[name] = said
+    return out
+
 
+def hidden_by(sheets: str) -> dict[str, dict[str, tuple[bool, int, int, bool]]]:
+    """Plain selectors (tag, .class, #id) with what a style sheet says of their display and visibility; none if it hides nothing."""
+    sheets = _QUOTED.sub("''", re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", sheets, flags=re.S))
+    out: dict[str, dict[str, tuple[bool, int, int, bool]]] = {}
+    # open blocks: a group of rules, a rule (its selectors and declarations) or one to skip
+    open_: list[tuple[str, str, list[str]]] = []
+    pos = order = 0
 
-def visible(node: Node, hidden: frozenset[str] = frozenset()) -> bool:
+    def end() -> None:
+        nonlocal order
+        kind, selectors, body = open_.pop()
+        if kind != "rule":
+            return
+        order += 1
+        for s in map(str.strip, selectors.split(",")):
+            if _SIMPLE.fullmatch(s):
+                have = out.setdefault(s if s[0] in ".#" else s.lower(), {})
+                for name, said in _declared(";".join(body), {".": 1, "#": 2}.get(s[0], 0), order).items():
+                    have[name] = max(have.get(name, said), said)
+
+    for m in re.finditer(r"[{};]", sheets):
+        part, pos = sheets[pos : m.start()].strip(), m.end()
+        kind = open_[-1][0] if open_ else "group"
+        if m[0] == "{":
+            name, _, rest = part.partition(" ") if "(" not in part.partition(" ")[0] else (part[: part.index("(")], "", part[part.index("(") :])
+            if kind != "group":
+                made = "skip"
+            elif not part.startswith("@"):
+                made = "rule"
+            elif name.lower() == "@media":
+                made = "group" if on_screen(rest) else "skip"
+            elif name.lower() == "@supports":
+                made = "skip" if rest.strip().lower().startswith("not") else "group"
+            else:
+                made = "group" if name.lower() == "@layer" else "skip"
+            open_.append((made, part, []))
+        elif kind == "rule":
+            open_[-1][2].append(part)
+        if m[0] == "}" and open_:
+            end()
+    if open_ and open_[-1][0] == "rule":
+        open_[-1][2].append(sheets[pos:])
+    while open_:
+        end()
+    return out if any(said[3] for have in out.values() for said in have.values()) else {}
+
+
+def visible(node: Node, hidden: dict[str, dict[str, tuple[bool, int, int, bool]]] | None = None) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
-    if "style" in a and _HIDES.search(a["style"]):
-        return False
-    if hidden and (node.tag in hidden or "#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split())):
-        return False
+    said = [_declared(a["style"], 3, 0)] if "style" in a else []
+    if hidden:
+        said += [hidden[s] for s in (node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())) if s in hidden]
+    for name in ("display", "visibility") if said else ():
+        if max((x[name] for x in said if name in x), default=(False, 0, 0, False))[3]:
+            return False
     return not (node.tag == "dialog" and "open" not in a)
 
 
@@ -300,7 +398,7 @@ def _number(text: str | None, default: int, low: int, high: int) -> int:
 
 
 class _Painter:
-    def __init__(self, hidden: frozenset[str]) -> None:
+    def __init__(self, hidden: dict[str, dict[str, tuple[bool, int, int, bool]]]) -> None:
         self.hidden = hidden
 
     def lines(self, node: Node, pre: bool = False) -> list[str]:
