@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -43,7 +44,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("applet caption html marquee object table td template th".split())
 
 #: Elements nested deeper than this are laid beside one another, as browsers do.
-MAX_DEPTH = 200
+MAX_DEPTH = 512
+#: Most columns and rows of a cell.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
@@ -502,7 +505,7 @@ class _Painter:
         grid: list[dict[int, list[str]]] = []
         wide: dict[int, int] = {}
         spans: list[tuple[int, int, int, int]] = []
-        taken: dict[tuple[int, int], bool] = {}
+        taken: dict[int, int] = {}  # of a column, the first row that no cell above reaches
         for r, row in enumerate(rows + foot):
             cells: dict[int, list[str]] = {}
             loose, col = _Flow(), 0
@@ -514,18 +517,18 @@ class _Painter:
                 elif child.tag not in ("td", "th"):
                     self.element(child, loose, False)
                 else:
-                    while taken.pop((r, col), False):
+                    while taken.get(col, 0) > r:
                         col += 1
                     lines = self.lines(child)
-                    across, down = _number(child.attrs.get("colspan"), 1, 1, 100), _number(child.attrs.get("rowspan"), 1, 1, 100)
+                    across, down = _number(child.attrs.get("colspan"), 1, 1, MOST_ACROSS), _number(child.attrs.get("rowspan"), 1, 1, MOST_DOWN)
                     cells[col] = lines
                     need = max([0, *map(width, lines)])
                     if across == 1:
                         wide[col] = max(wide.get(col, 0), need)
                     else:
                         spans.append((across, col, need, r))
-                    for k in range(1, down):
-                        taken.update(((r + k, col + j), True) for j in range(across))
+                    if down > 1:
+                        taken.update((col + j, max(taken.get(col + j, 0), r + down)) for j in range(across))
                     col += across
             before.box(loose.done())
             grid.append(cells)
@@ -558,6 +561,7 @@ def render(text: str | None) -> str:
     if not text:
         return ""
     root, sheets = parse(text)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * MAX_DEPTH))
     lines = _Painter(hidden_by(sheets)).lines(root)
     return "\n".join(x.rstrip() for x in lines)
 
