@@ -1,192 +1,284 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-A repeated window of ``window`` words is built from repeated windows of half
-that length.  The first level therefore looks at half-length windows only, and
-of each run of them that a full window spans only at the one of least hash
-(the same one wherever the full window stands).  Windows around a half that
-some other document has too are extended to full length; the others are never
-looked at again.  The full windows that survive are compared over all
-documents by the smallest document each starts in.  Longer repeats are unions
-of such windows, so levels beyond ``window`` would remove no other word.
-
-Texts move in groups of about two megabytes.  A group sends each bucket of
-hashes the distinct hashes it has there (with the smallest document of each),
-however often they occur in the group, and is sent back those that other
-groups settle.  So a passage that a third of all documents share is one row a
-group, and no task holds more than a bucket or a group.
+A window of ``window`` words can repeat only if every shorter window in it
+does.  Lengths double from a few words up to ``window`` (4, 7 and 13 words).
+At each length one shorter window of every live full window, that of least
+hash in it (the same wherever the full window stands), is looked up over all
+documents; where it stands in one document alone, the full window is dead.
+What lives is looked at again at twice the length, until the full length is
+reached or no candidate survives.  At full length the windows left are compared
+by the smallest document each starts in.  Longer repeats are unions of full
+windows, so levels beyond ``window`` would remove no other word.
+
+Texts lie in groups of about two megabytes, which are written once and never
+move.  A group sends each bucket of hashes the distinct keys that it has there,
+however often they occur in the group: four bytes each below the full length,
+where a chance collision costs a look and no more.  It is sent back a bit a
+key.  So a passage that a third of all documents share is one key a group, and
+no task holds more than a bucket or a group.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import materialise, partitions, runs, text_chunks
+from .common import Scratch, carried, column, open_fs, partitions, restored, runs, shared_path, text_chunks, with_fields
 from .words import Words, split_words
 
 WINDOW = 13
 #: Words of a passage that a corpus should hold once.
 PASSAGE = 50
+#: No level has fewer words.
+SHORTEST = 4
 #: Bytes of text whose hashes make one bucket; bytes of text of a group.
 BUCKET_BYTES, GROUP_BYTES = 16 << 20, 2 << 20
 _U = np.uint64
+_HALF = _U(32)
 
 
-def _group(batch: pa.RecordBatch) -> bytes:
+def levels(window: int) -> list[int]:
+    """The lengths that are looked at: each at most twice the one before, the last is ``window``."""
+    out = [window]
+    while (half := (out[0] + 1) // 2) >= SHORTEST and half < out[0]:
+        out.insert(0, half)
+    return out
+
+
+def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    codec = pa.Codec("zstd", compression_level=6)  # a group is written once and moves twice
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _ungroup(payload: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(payload).read_next_batch()
-
-
 def _groups(docs: DataFrame) -> DataFrame:
-    """(gid, payload): rows of ``docs`` in groups, each an Arrow stream."""
+    """(part, gid, payload): rows of ``docs`` in groups, each an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for i, batch in enumerate(text_chunks(batches, "__text", GROUP_BYTES)):
-            cols = [pa.array([(part << 32) + i]), pa.array([_group(batch)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["gid", "payload"])
-
-    return docs.mapInArrow(run, "gid long, payload binary")
-
-
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("__id")
-    return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-
-
-def _words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of a group, the id of each word's document, and whether it has one."""
-    w = split_words(batch.column("__text").to_pylist())
-    ids, none = _ids(batch)
-    own = w.owner()
-    return w, ids[own], none[own]
-
-
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each full window, that of its anchor, the anchor's hash).
-
-    The anchor of a window is the half-length window of least hash in it, the
-    leftmost of equals.
+        for i, batch in enumerate(text_chunks(batches, "text", GROUP_BYTES)):
+            cols = [pa.array([part], pa.int32()), pa.array([(part << 32) + i]), pa.array([_pack(batch)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "gid", "payload"])
+
+    return docs.mapInArrow(run, "part int, gid long, payload binary")
+
+
+def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of ``values[i : i + span]`` for each i that has so many."""
+    have, width = values, 1
+    while 2 * width <= span:
+        have = np.minimum(have[: len(have) - width], have[width:])
+        width *= 2
+    if width < span:
+        have = np.minimum(have[: len(have) - (span - width)], have[span - width :])
+    return have
+
+
+class _Group:
+    """The full windows of a group that may still be repeats: ``at`` their first words, ``h`` their hashes."""
+
+    def __init__(self, payload: bytes, window: int, buckets: int) -> None:
+        self.batch = pa.ipc.open_stream(payload).read_next_batch()
+        self.words = split_words(self.batch.column("text").to_pylist())
+        ids = self.batch.column("id")
+        own = self.words.owner()
+        self.doc = ids.fill_null(0).to_numpy(zero_copy_only=False)[own]
+        at, h = self.words.windows(window)
+        known = ~ids.is_null().to_numpy(zero_copy_only=False)[own[at]]
+        self.at, self.h, self.window, self.buckets = at[known], h[known], window, _U(buckets)
+
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the window of ``length`` words of least hash in each live full window, the leftmost of equals."""
+        at, h = self.words.windows(length)
+        bits = _U(max(16, len(self.words.hashes).bit_length()))
+        dense = np.full(len(self.words.hashes), np.iinfo(np.uint64).max, dtype=_U)
+        dense[at] = (h >> bits << bits) | at.astype(_U)
+        place = (sliding_least(dense, self.window - length + 1)[self.at] & ((_U(1) << bits) - _U(1))).astype(np.int64)
+        dense[at] = h
+        return place, dense[place]
+
+    def keys(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each live window's key, the distinct keys, whether several documents of the group have each).
+
+        A key is a bucket and 32 bits more of the hash.
+        """
+        if not len(self.at):
+            return self.at, np.zeros(0, dtype=_U), np.zeros(0, dtype=bool)
+        place, h = self.anchors(length)
+        key = ((h % self.buckets) << _HALF) | ((h // self.buckets) & _U(0xFFFFFFFF))
+        distinct, number = np.unique(key, return_inverse=True)
+        least, most = _extremes(number, self.doc[place], len(distinct))
+        return number, distinct, least != most
+
+    def narrow(self, length: int, back: dict[int, bytes]) -> None:
+        """Leave the windows whose anchor is found to repeat."""
+        number, distinct, _ = self.keys(length)
+        live = _bits((distinct >> _HALF).astype(np.int64), back)[number]
+        self.at, self.h = self.at[live], self.h[live]
+
+    def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each live window's hash, buckets, distinct hashes, the least document of each), by bucket and hash."""
+        h, number = np.unique(self.h, return_inverse=True)
+        least, _ = _extremes(number, self.doc[self.at], len(h))
+        bucket = (h % self.buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[number], bucket[order], h[order], least[order]
+
+
+def _extremes(number: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest document of each of ``n`` numbers."""
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(number, kind="stable")
+    first = np.searchsorted(number[order], np.arange(n))
+    return np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+
+
+def _slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each run of a sorted array."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True)) if len(first) else []
+
+
+def _bits(bucket: np.ndarray, back: dict[int, bytes]) -> np.ndarray:
+    """What came back for the keys of sorted buckets; nothing came back for a bucket without a repeat."""
+    out = np.zeros(len(bucket), dtype=bool)
+    for b, s, e in _slices(bucket):
+        if b in back:
+            out[s:e] = np.unpackbits(np.frombuffer(back[b], dtype=np.uint8), count=e - s)
+    return out
+
+
+class _Back:
+    """What buckets sent back, a folder for each part of the groups; a task reads those of its parts."""
+
+    def __init__(self, root: str) -> None:
+        self.root, self.part = root, None
+        self.by: dict[int, dict[int, bytes]] = {}
+
+    def of(self, part: int, gid: int) -> dict[int, bytes]:
+        if part != self.part:
+            self.part, self.by = part, {}
+            fs, base = open_fs(self.root)
+            for f in fs.get_file_info(pafs.FileSelector(f"{base}/part={part}", allow_not_found=True)):
+                if f.path.endswith(".parquet"):
+                    with fs.open_input_file(f.path) as src:
+                        got = pq.read_table(src)
+                    for g, b, bits in zip(*(got.column(c).to_pylist() for c in ("gid", "bucket", "bits")), strict=True):
+                        self.by.setdefault(g, {})[b] = bits
+        return self.by.get(gid, {})
+
+
+def _live(batches: Iterator[pa.RecordBatch], window: int, buckets: int, done: list[tuple[int, str]]) -> Iterator[tuple[int, int, _Group]]:
+    """(part, gid, group) with the windows that the levels ``done`` (length, what came back) have left."""
+    backs = [(length, _Back(root)) for length, root in done]
+    for batch in batches:
+        for part, gid, payload in zip(*(batch.column(c) for c in ("part", "gid", "payload")), strict=True):
+            part, gid = part.as_py(), gid.as_py()
+            group = _Group(payload.as_py(), window, buckets)
+            for length, back in backs:
+                group.narrow(length, back.of(part, gid))
+            yield part, gid, group
+
+
+def _answer(dealt: DataFrame, verdict, root: str) -> bool:
+    """Deal rows to their buckets and write a bit a key to ``root``; false if no bit is set.
+
+    ``verdict`` gives, for the rows of a bucket, the bits of each.
     """
-    half = (window + 1) // 2
-    span = window - half + 1
-    full, _ = w.windows(window)
-    if not len(full):
-        return full, full, np.zeros(0, dtype=_U)
-    at, h = w.windows(half)
-    dense = np.full(len(w.hashes), np.iinfo(np.uint64).max, dtype=_U)
-    dense[at] = h
-    best, place = dense[full].copy(), full.copy()
-    for k in range(1, span):
-        other = dense[full + k]
-        less = other < best
-        best[less], place[less] = other[less], full[less] + k
-    return full, place, best
-
-
-def _least_docs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, the least and the greatest document of each)."""
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
-    if not len(first):
-        return h, doc, doc
-    return h[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-
-
-def _pack_ids(ids: np.ndarray) -> bytes:
-    """Sorted ids as compressed differences: they go to every bucket."""
-    return zlib.compress(np.diff(ids, prepend=np.int64(0)).tobytes(), 6)
-
-
-def _unpack_ids(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype=np.int64))
-
-
-def _deal(gid: int, buckets: int, h: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket in which the group has hashes; documents as places in the group's list of ids."""
-    ids, low = np.unique(np.concatenate([least, most]), return_inverse=True)
-    low, high = low[: len(h)], low[len(h) :]
-    kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-    names = _pack_ids(ids)
-    b = (h % _U(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    b = b[order]
-    first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, dtype=np.int64)
-    ends = np.append(first[1:], len(b)) if len(b) else first
-    h, low, high = h[order], low[order], high[order]
-    cut = [slice(s, e) for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
-    cols = [
-        pa.array(np.full(len(cut), gid, dtype=np.int64)),
-        pa.array(b[first].astype(np.int32)),
-        pa.array([h[c].tobytes() for c in cut], pa.binary()),
-        pa.array([low[c].astype(kind).tobytes() for c in cut], pa.binary()),
-        pa.array([np.packbits(high[c] != low[c]).tobytes() for c in cut], pa.binary()),
-        pa.array([names] * len(cut), pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(cols, names=["gid", "bucket", "h", "low", "many", "ids"])
-
 
-_DEALT = "gid long, bucket int, h binary, low binary, many binary, ids binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["bucket"]):
+            bits = verdict(rows)
+            some = [i for i, b in enumerate(bits) if b.any()]
+            cols = [rows.column(c).take(pa.array(some, pa.int64())) for c in ("part", "gid", "bucket")]
+            cols.append(pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "gid", "bucket", "bits"])
 
+    p = partitions(dealt)
+    back = dealt.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, gid long, bucket long, bits binary")
+    back.repartition(p, "part").write.partitionBy("part").parquet(root)
+    fields = "gid long, bucket long, bits binary, part int"
+    return not dealt.sparkSession.read.schema(fields).parquet(root).isEmpty()
+
+
+def _several(rows: pa.RecordBatch) -> list[np.ndarray]:
+    """Keys that two groups have, or two documents of one."""
+    keys = [np.frombuffer(x, dtype="<u4") for x in rows.column("keys").to_pylist()]
+    many = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)) for x, k in zip(rows.column("many").to_pylist(), keys, strict=True)]
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    times = np.bincount(number, minlength=len(distinct)) + np.bincount(number, weights=np.concatenate(many), minlength=len(distinct))
+    return np.split(times[number] > 1, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _smaller(rows: pa.RecordBatch) -> list[np.ndarray]:
+    """Hashes that a document smaller than any of the group's has."""
+    hs = [np.frombuffer(x, dtype="<u8") for x in rows.column("keys").to_pylist()]
+    lows = [
+        np.frombuffer(x, dtype="<u4" if len(x) == 4 * len(h) else "<i8").astype(np.int64) + base
+        for h, x, base in zip(hs, rows.column("low").to_pylist(), rows.column("base").to_pylist(), strict=True)
+    ]
+    doc = np.concatenate(lows)
+    distinct, number = np.unique(np.concatenate(hs), return_inverse=True)
+    least, _ = _extremes(number, doc, len(distinct))
+    return np.split(least[number] < doc, np.cumsum([len(h) for h in hs])[:-1])
 
-def _settle(dealt: DataFrame, smaller: bool) -> DataFrame:
-    """(gid, hashes) sent back: those of the group that two documents have, or a document smaller than any of the group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ["bucket"]):
-            gids = part.column("gid").to_pylist()
-            hs = [np.frombuffer(x, dtype=_U) for x in part.column("h").to_pylist()]
-            lows, many = part.column("low").to_pylist(), part.column("many").to_pylist()
-            kinds = [np.uint16 if len(x) == 2 * len(k) else np.uint32 for x, k in zip(lows, hs, strict=True)]
-            docs = [_unpack_ids(i)[np.frombuffer(x, dtype=k)] for i, x, k in zip(part.column("ids").to_pylist(), lows, kinds, strict=True)]
-            h, doc = np.concatenate(hs), np.concatenate(docs)
-            inside = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(many, hs, strict=True)])
-            known, least, most = _least_docs(h, doc)
-            at = np.searchsorted(known, h)
-            if smaller:
-                send = least[at] < doc
-            else:
-                several = np.zeros(len(known), dtype=bool)
-                np.logical_or.at(several, at[inside], True)
-                send = ((least != most) | several)[at]
-            ends = np.cumsum([len(x) for x in hs])
-            out = [(g, x[send[e - len(x) : e]].tobytes()) for g, x, e in zip(gids, hs, ends.tolist(), strict=True)]
-            out = [x for x in out if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["gid", "h"])
+def _rows(part: int, gid: int, cut: list[tuple[int, int, int]], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(cut)
+    cols = [pa.array([part] * n, pa.int32()), pa.array([gid] * n, pa.int64()), pa.array([b for b, _, _ in cut], pa.int64()), *more.values()]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "gid", "bucket", *more])
 
-    p = partitions(dealt)
-    back = dealt.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gid long, h binary")
-    return back.groupBy("gid").agg(F.collect_list("h").alias("back"))
 
+def repeats(groups: DataFrame, window: int, buckets: int) -> list[tuple[int, str]] | None:
+    """(length, folder of bits) of each level, or none if no window survives some level."""
+    done: list[tuple[int, str]] = []
 
-def _received(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
-    """(gid, group, the sorted hashes sent back to it)."""
-    for i in range(batch.num_rows):
-        blobs = batch.column("back")[i].as_py() or []
-        h = np.sort(np.frombuffer(b"".join(blobs), dtype=_U))
-        yield batch.column("gid")[i].as_py(), _ungroup(batch.column("payload")[i].as_py()), h
+    def short(length: int, before: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, gid, group in _live(batches, window, buckets, before):
+                _, keys, many = group.keys(length)
+                cut, low = _slices((keys >> _HALF).astype(np.int64)), keys.astype("<u4")
+                made = {"keys": pa.array([low[s:e].tobytes() for _, s, e in cut], pa.binary()), "many": pa.array([np.packbits(many[s:e]).tobytes() for _, s, e in cut], pa.binary())}
+                yield _rows(part, gid, cut, made)
 
+        return run
 
-def _in(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(h), dtype=bool)
-    at = np.searchsorted(table, h)
-    at[at == len(table)] = 0
-    return table[at] == h
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, gid, group in _live(batches, window, buckets, done):
+            _, bucket, h, least = group.full()
+            cut, base = _slices(bucket), int(least.min(initial=np.iinfo(np.int64).max))
+            wide = len(least) and int(least.max()) - base >= 1 << 32
+            low = least if wide else (least - base).astype("<u4")
+            made = {
+                "keys": pa.array([h[s:e].tobytes() for _, s, e in cut], pa.binary()),
+                "low": pa.array([low[s:e].tobytes() for _, s, e in cut], pa.binary()),
+                "base": pa.array([0 if wide else base] * len(cut), pa.int64()),
+            }
+            yield _rows(part, gid, cut, made)
+
+    head = "part int, gid long, bucket long, keys binary, "
+    for length in levels(window):
+        root = shared_path(groups.sparkSession, f"repeats-{length}")
+        if length < window:
+            found = _answer(groups.mapInArrow(short(length, list(done)), head + "many binary"), _several, root)
+        else:
+            found = _answer(groups.mapInArrow(full, head + "low binary, base long"), _smaller, root)
+        done.append((length, root))
+        if not found and length < window:
+            return None
+    return done
 
 
 def _cut(w: Words, gone: np.ndarray, joined: bool, whole: list[str | None]) -> list[str | None]:
@@ -229,69 +321,36 @@ def remove_repeats(
     Rows: a null text has no words and stays null (empty if joined); texts
     shorter than a window lose nothing; of rows that repeat an id neither
     counts as smaller; rows without an id lose nothing and take nothing from
-    others.  All other columns are carried along; a column already named
-    ``n_words`` or ``n_removed`` is replaced.
+    others.  All other columns are carried along, whatever their names; a
+    column already named ``n_words`` or ``n_removed`` is replaced.
     """
-    names = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed")]
-    plain = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"),
-        *[F.col(f"`{c}`").alias(f"_{c}") for c in names],
-    )
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    if window < 1:
+        raise ValueError("a window has one word or more")
+    names, cols = carried(docs, id_col, text_col, "n_words", "n_removed")
+    plain = docs.select(*cols, column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length(column(text_col).cast("string")))).first()[0] or 0
     buckets = max(partitions(docs), -(-size // BUCKET_BYTES))
-    groups = materialise(_groups(plain), "substring", "none")
-
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                w, doc, none = _words(_ungroup(batch.column("payload")[i].as_py()))
-                yield _deal(batch.column("gid")[i].as_py(), buckets, *_least_docs(*_of(w, doc, none, window)))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, group, back in _received(batch):
-                w, doc, none = _words(group)
-                at, _, anchor = _anchors(w, window)
-                pick = _in(anchor, back) & ~none[at]
-                first, h = w.windows(window)
-                yield _deal(gid, buckets, *_least_docs(h[pick], doc[first[pick]]))
+    groups = Scratch(docs.sparkSession).keep(_groups(plain), "substring", "none")
+    done = repeats(groups, window, buckets)
+    schema = with_fields(plain, StructField("n", LongType()), StructField("lost", LongType()))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, group, back in _received(batch):
-                w, doc, none = _words(group)
-                at, h = w.windows(window)
-                known, least, _ = _least_docs(h[~none[at]], doc[at[~none[at]]])
-                gone = _in(h, back)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    gone |= (known[place] == h) & (least[place] < doc[at])
-                gone &= ~none[at]
+        last = _Back(done[-1][1]) if done else None
+        for part, gid, group in _live(batches, window, buckets, done[:-1] if done else []):
+            w = group.words
+            lost = np.zeros(len(w.hashes), dtype=bool)
+            if last and len(group.at):
+                number, bucket, _, least = group.full()
+                gone = _bits(bucket, last.of(part, gid))[number] | (least[number] < group.doc[group.at])
                 edge = np.zeros(len(w.hashes) + 1, dtype=np.int32)
-                np.add.at(edge, at[gone], 1)
-                np.add.at(edge, at[gone] + window, -1)
+                np.add.at(edge, group.at[gone], 1)
+                np.add.at(edge, group.at[gone] + window, -1)
                 lost = np.cumsum(edge[:-1]) > 0
-                texts = _cut(w, lost, joined, group.column("__text").to_pylist())
-                n_lost = np.diff(np.append(0, np.cumsum(lost))[w.docs])
-                cols = [c if n != "__text" else pa.array(texts, pa.string()) for n, c in zip(group.schema.names, group.columns, strict=True)]
-                cols += [pa.array(w.counts.astype(np.int64)), pa.array(n_lost.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*group.schema.names, "__n", "__lost"])
-
-    half_back = _settle(groups.mapInArrow(halves, _DEALT), smaller=False)
-    full_back = _settle(groups.join(half_back, "gid").mapInArrow(full, _DEALT), smaller=True)
-    out = groups.join(materialise(full_back, "repeats", "none"), "gid", "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    done = out.mapInArrow(finish, f"{schema}, __n long, __lost long")
-    back = {id_col: "__id", text_col: "__text"} | {c: f"_{c}" for c in names}
-    return done.select(
-        *[F.col(f"`{back[c]}`").alias(c) for c in docs.columns if c in back], F.col("__n").alias("n_words"), F.col("__lost").alias("n_removed")
-    )
-
-
-def _of(w: Words, doc: np.ndarray, none: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of each anchor once."""
-    _, place, h = _anchors(w, window)
-    place, first = np.unique(place, return_index=True)
-    h = h[first]
-    some = ~none[place]
-    return h[some], doc[place[some]]
+            texts = _cut(w, lost, joined, group.batch.column("text").to_pylist())
+            n_lost = np.diff(np.append(0, np.cumsum(lost))[w.docs])
+            new = [pa.array(texts, pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(n_lost.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*group.batch.columns[:-1], *new], names=[*group.batch.schema.names, "n", "lost"])
+
+    made = groups.mapInArrow(finish, schema)
+    back = dict(zip(names, restored(names), strict=True)) | {id_col: F.col("id").alias(id_col), text_col: F.col("text").alias(text_col)}
+    return made.select(*[back[c] for c in docs.columns if c in back], F.col("n").alias("n_words"), F.col("lost").alias("n_removed"))
