@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import carried, column, restored, text_chunks, unused, with_fields
 from .words import Words, mix, shingles, split_words
 
 PERCENT = 80
@@ -257,7 +257,7 @@ _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.floa
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
     """Items of a bounded number and size at a time; copies of an item once."""
-    plain = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    plain = benchmark.select(column(id_col).cast("long").alias("item"), column(text_col).cast("string").alias("text"))
     plain = plain.where("item is not null and text is not null").distinct()
     count, size = plain.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(-(-count // SLICE_ITEMS), -(-(size or 0) // (6 * SLICE_WORDS)))
@@ -281,8 +281,8 @@ def find(
     hits.  A column that bears the name of ``hits_col`` is replaced.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != hits_col]
-    out = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in names], F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(None).cast(_HIT).alias("__hits"))
+    names, cols = carried(docs, hits_col)
+    out = docs.select(*cols, column(text_col).cast("string").alias("text"), F.lit(None).cast(_HIT).alias("hits"))
     for rows in _slices(benchmark, id_col, text_col):
         shared, key = spark.sparkContext.broadcast(make_items(rows)), uuid.uuid4().hex
 
@@ -290,24 +290,24 @@ def find(
             if key not in _BUILT:
                 _BUILT.clear()
                 _BUILT[key] = Index(shared.value).build()
-            for batch in text_chunks(batches, "__text"):
-                found = search(_BUILT[key], batch.column("__text").to_pylist(), percent)
-                before = batch.column("__hits").to_pylist()
+            for batch in text_chunks(batches, "text"):
+                found = search(_BUILT[key], batch.column("text").to_pylist(), percent)
+                before = batch.column("hits").to_pylist()
                 both = [(a or []) + b for a, b in zip(before, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, _HIT_ARROW)], names=batch.schema.names)
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(run, schema)
-    hits = F.array_sort(F.coalesce("__hits", F.array().cast(_HIT)))
-    return out.select(*[F.col(f"`_{c}`").alias(c) for c in names], hits.alias(hits_col))
+        out = out.mapInArrow(run, with_fields(out))
+    hits = F.array_sort(F.coalesce("hits", F.array().cast(_HIT)))
+    return out.select(*restored(names), hits.alias(hits_col))
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): a row a document row and item found in it."""
-    found = find(docs.select(F.col(f"`{id_col}`").alias("doc_id"), "text"), benchmark, percent)
+    found = find(docs.select(column(id_col).alias("doc_id"), "text"), benchmark, percent)
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
-    return find(docs, benchmark, percent, hits_col="__found").where(F.size("__found") == 0).drop("__found")
+    found = unused("found", docs.columns)
+    return find(docs, benchmark, percent, hits_col=found).where(F.size(found) == 0).drop(found)

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .common import materialise, text_chunks
+from .common import carried, column, materialise, restored, text_chunks, with_fields
 
 UNKNOWN = "und"
 #: Labelled rows of a language that the fit takes.
@@ -219,19 +220,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     rows stay.
     """
     made = ("lang_pred", "score", "ambiguous", "lang_second")
-    names = [c for c in docs.columns if c not in made]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in names], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    names, cols = carried(docs, *made)
+    plain = docs.select(*cols, column(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "__text", SLICE):
-            lang, score, ambiguous, second = shared.value.predict(batch.column("__text").to_pylist())
-            cols = [*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(ambiguous), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *made])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    out = plain.mapInArrow(run, schema + "lang_pred string, score double, ambiguous boolean, lang_second string")
-    return out.select(*[F.col(f"`_{c}`").alias(c) for c in names], *made)
+        for batch in text_chunks(batches, limit=SLICE):
+            lang, score, ambiguous, second = shared.value.predict(batch.column("text").to_pylist())
+            new = [pa.array(lang), pa.array(score), pa.array(ambiguous), pa.array(second, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *made])
+
+    types = StringType(), DoubleType(), BooleanType(), StringType()
+    out = plain.mapInArrow(run, with_fields(plain.drop("text"), *[StructField(n, t) for n, t in zip(made, types, strict=True)]))
+    return out.select(*restored(names), *made)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

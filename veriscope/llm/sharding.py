@@ -16,6 +16,8 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried, restored
+
 SLOTS = 6553
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -70,18 +72,26 @@ def place(rows: DataFrame, key: Column, shards: Sequence[str] = SHARDS, slots: i
     null key goes to slot 0, equal keys to one shard, repeated rows each.
     Columns already named like the two added are replaced.
     """
-    table = lookup_table(rows.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    keyed = rows.withColumn("__slot", slot_of(key, slots)).join(F.broadcast(table), "__slot")
-    keep = [F.col(f"`{c}`") for c in rows.columns if c not in (slot_col, shard_col)]
-    return keyed.select(*keep, F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+    names, cols = carried(rows, slot_col, shard_col)
+    table = lookup_table(rows.sparkSession, shards, slots)
+    keyed = rows.select(*cols, slot_of(key, slots).alias("slot")).join(F.broadcast(table), "slot")
+    return keyed.select(*restored(names), F.col("slot").alias(slot_col), F.col("shard").alias(shard_col))
 
 
-def write_shards(rows: DataFrame, key: Column, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, split: Column | None = None, files: int = 8) -> None:
+def write_shards(
+    rows: DataFrame, key: Column, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, split: Column | None = None, files: int = 8, shard_col: str = "shard"
+) -> None:
     """Write one folder a shard, each of ``files`` files at most.
 
-    A shard's rows are dealt to its files by ``split`` (the whole row by
-    default), so that no task writes a hot shard alone.
+    A shard's rows are dealt to its files by ``split``, or without it by the
+    partition that they come from, so that no task writes a hot shard alone,
+    were all its rows alike, and a task that is repeated deals them as before.
+    A column of ``rows`` named like ``shard_col`` is replaced.
     """
-    placed = place(rows, key, shards, slots)
-    deal = F.pmod(split if split is not None else F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(files))
-    placed.repartition(len(shards) * files, "shard", deal).write.partitionBy("shard").parquet(path)
+    names, cols = carried(rows, shard_col)
+    n = len(shards)
+    deal = F.pmod(split if split is not None else F.spark_partition_id(), F.lit(files))
+    keyed = rows.select(*cols, slot_of(key, slots).alias("slot"), deal.alias("file"))
+    placed = keyed.join(F.broadcast(lookup_table(rows.sparkSession, shards, slots)), "slot")
+    dealt = placed.repartition(n * files, "shard", "file")
+    dealt.select(*restored(names), F.col("shard").alias(shard_col)).write.partitionBy(shard_col).parquet(path)
