@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from .common import text_chunks
+from .common import carried, column, restored, text_chunks, with_fields
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,18 +43,32 @@ UNSEEN = frozenset(
 CLOSES_P = BLOCK - frozenset("body dd dt html legend li optgroup option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("applet caption html marquee object table td template th".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Elements that a formatting element's end tag doesn't close, and those that formatting doesn't reach into.
+SPECIAL = BLOCK | frozenset("applet button caption marquee object select tbody td template tfoot th thead tr".split())
+MARKERS = frozenset("applet caption marquee object td template th".split())
 
 #: Elements nested deeper than this are laid beside one another, as browsers do.
 MAX_DEPTH = 512
-#: Most columns and rows of a cell.
+#: Range of a list item's number; most columns and rows of a cell.
+INT32 = -(1 << 31), (1 << 31) - 1
 MOST_ACROSS, MOST_DOWN = 1000, 65534
+_WS = r" \t\n\f\r"
+#: One attribute: a quote opens a value only right after the sign of equality.
+_ATTR_TEXT = (
+    rf"[^{_WS}/>][^{_WS}/>=]*+"
+    rf"(?:[{_WS}]*+=[{_WS}]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^{_WS}>\"'][^{_WS}>]*+)?)?"
+)
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]+(?:>|\Z)|</>"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^{_WS}/>]*+)(?P<attrs>(?:[{_WS}/]++|{_ATTR_TEXT})*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+_ATTR = re.compile(
+    rf"([^{_WS}/>][^{_WS}/>=]*+)(?:[{_WS}]*+=[{_WS}]*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^{_WS}>\"'][^{_WS}>]*+))?)?", re.S
+)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_INTEGER = re.compile(rf"[{_WS}]*([+-]?[0-9]+)")
 _DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([\w -]+?)\s*(!\s*important\s*)?", re.I)
 _QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 #: The screen that media queries are held against, in pixels, and the features it has.
@@ -61,6 +76,8 @@ SCREEN = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-heig
 TRAITS = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled"}
 _UNITS = {"": 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "in": 96.0, "cm": 96 / 2.54, "mm": 9.6 / 2.54}
 _SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
+#: Where text does not stand, so that formatting does not go on there.
+_NO_TEXT = frozenset("head table tbody thead tfoot tr colgroup select".split())
 _CUT = {
     # an opening tag, the open elements that it closes, and those that stop the search
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -85,6 +102,97 @@ class Node:
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
+    def path(self) -> Iterator[Node]:
+        """The node and what holds it, from within."""
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+    def add(self, child: Node) -> Node:
+        self.children.append(child)
+        child.parent, child.depth = self, self.depth + 1
+        return child
+
+
+class _Formatting:
+    """Formatting elements that go on where a block cuts them off, each with the marker element that bounds it."""
+
+    def __init__(self) -> None:
+        self.live: list[tuple[Node, Node | None]] = []
+
+    def bound(self, at: Node) -> Node | None:
+        """The innermost marker around ``at``; entries of one that is closed go."""
+        marker = next((n for n in at.path() if n.tag in MARKERS), None)
+        while self.live and self.live[-1][1] is not marker and self.live[-1][1] is not None:
+            if marker is not None and any(n is self.live[-1][1] for n in marker.path()):
+                break
+            self.live.pop()
+        return marker
+
+    def add(self, node: Node, at: Node) -> None:
+        marker = self.bound(at)
+        alike = [x for x in self.live if x[1] is marker and x[0].tag == node.tag and x[0].attrs == node.attrs]
+        if len(alike) >= 3:  # no more of the same go on
+            self.live.remove(alike[0])
+        self.live.append((node, marker))
+
+    def drop(self, node: Node) -> None:
+        self.live = [x for x in self.live if x[0] is not node]
+
+    def resume(self, at: Node) -> Node:
+        """Open again, within ``at``, what is live but closed; returns the innermost."""
+        marker = self.bound(at)
+        within: set[int] | None = None
+        first = len(self.live)
+        while first and self.live[first - 1][1] is marker:
+            if within is None:
+                within = {id(n) for n in at.path()}
+            if id(self.live[first - 1][0]) in within:
+                break
+            first -= 1
+        for k in range(first, len(self.live)):
+            if at.depth + 1 >= MAX_DEPTH:
+                break
+            old = self.live[k][0]
+            at = at.add(Node(old.tag, old.attrs, at))
+            self.live[k] = (at, marker)
+        return at
+
+    def end(self, tag: str, at: Node) -> Node:
+        """The end tag of a formatting element: blocks opened in it stay open, without it."""
+        for _ in range(8):
+            chain = []
+            for node in at.path():
+                if node.tag == tag or node.tag in SCOPES:
+                    break
+                chain.append(node)
+            if node.tag != tag:
+                return at
+            cut = next((i for i in range(len(chain) - 1, -1, -1) if chain[i].tag in SPECIAL), None)
+            if cut is None:
+                self.drop(node)
+                return node.parent
+            block, between = chain[cut], chain[cut + 1 :]
+            block.parent.children.pop()  # what is open is the last of its parent
+            last = block
+            for old in between:  # formatting between goes on around the block
+                if any(x[0] is old for x in self.live):
+                    new = Node(old.tag, old.attrs, None)
+                    self.live = [(new if x is old else x, m) for x, m in self.live]
+                    new.add(last)
+                    last = new
+            node.parent.add(last)
+            inner = Node(tag, node.attrs, block)
+            inner.children, block.children = block.children, [inner]
+            for child in inner.children:
+                if isinstance(child, Node):
+                    child.parent = inner
+            self.live = [(inner if x is node else x, m) for x, m in self.live]
+            if at is block:
+                at = inner
+        return at
+
 
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
@@ -98,7 +206,8 @@ def parse(text: str) -> tuple[Node, str]:
     """(root of the tree, the style sheets of the page)."""
     text = text.replace("\0", "")
     root = Node("html", {}, None)
-    at, open_, sheets, pos = root, root, [], 0
+    at, sheets, pos = root, [], 0
+    formatting = _Formatting()
 
     def close(tags: frozenset[str], stops: frozenset[str]) -> bool:
         """Close the innermost open element of ``tags``, unless one of ``stops`` is within."""
@@ -114,7 +223,10 @@ def parse(text: str) -> tuple[Node, str]:
         return False
 
     def words(data: str) -> None:
+        nonlocal at
         if data:
+            if formatting.live and at.tag not in _NO_TEXT:
+                at = formatting.resume(at)
             at.children.append(html.unescape(data))
 
     while pos < len(text):
@@ -135,7 +247,9 @@ def parse(text: str) -> tuple[Node, str]:
         if not tag:
             continue
         if m["close"]:
-            if tag in HEADINGS:
+            if tag in FORMATTING:
+                at = formatting.end(tag, at)
+            elif tag in HEADINGS:
                 close(HEADINGS, SCOPES)
             elif tag == "br":
                 at.children.append(Node("br", {}, at))
@@ -171,7 +285,11 @@ def parse(text: str) -> tuple[Node, str]:
             if tag in ("li", "dt", "dd"):
                 close(frozenset(["p"]), SCOPES | {"button", "ul", "ol", "dl", "div"})
         if tag == "a":
-            close(frozenset(["a"]), SCOPES)
+            at = formatting.end("a", at)
+            marker = formatting.bound(at)
+            formatting.live = [x for x in formatting.live if x[0].tag != "a" or x[1] is not marker]
+        if formatting.live and tag not in SPECIAL and tag not in UNSEEN and tag not in VOID and at.tag not in _NO_TEXT:
+            at = formatting.resume(at)
         if tag in ("tr", "td", "th") and at.tag == "table":
             at = _open("tbody", at)
         if tag in ("td", "th") and at.tag in ("tbody", "thead", "tfoot"):
@@ -193,6 +311,8 @@ def parse(text: str) -> tuple[Node, str]:
                 node.children.append(inner)
             continue
         if node.depth < MAX_DEPTH:
+            if tag in FORMATTING:
+                formatting.add(node, at)
             at = node
     return root, "\n".join(sheets)
 
@@ -394,10 +514,8 @@ class _Flow:
 
 
 def _number(text: str | None, default: int, low: int, high: int) -> int:
-    try:
-        return min(high, max(low, int(text.strip())))
-    except (AttributeError, ValueError):
-        return default
+    m = _INTEGER.match(text or "")
+    return min(high, max(low, int(m[1][:20]))) if m else default
 
 
 class _Painter:
@@ -461,7 +579,7 @@ class _Painter:
         out, ordered = [], node.tag == "ol"
         step = -1 if "reversed" in node.attrs else 1
         count = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
-        n = _number(node.attrs.get("start"), count if step < 0 else 1, -(10**9), 10**9)
+        n = _number(node.attrs.get("start"), count if step < 0 else 1, *INT32)
         flow = _Flow()
 
         def loose() -> None:
@@ -474,7 +592,7 @@ class _Painter:
                 flow.text(child, pre)
             elif child.tag == "li":
                 loose()
-                n = _number(child.attrs.get("value"), n, -(10**9), 10**9)
+                n = _number(child.attrs.get("value"), n, *INT32)
                 mark = f"{n}. " if ordered else "- "
                 n += step
                 if visible(child, self.hidden):
@@ -583,15 +701,14 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     a page, however broken; all rows and other columns stay, but a column that
     bears a new name is replaced.
     """
-    names = [c for c in pages.columns if c not in (html_col, text_col, "n_lines")]
-    plain = pages.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in names], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    names, cols = carried(pages, html_col, text_col, "n_lines")
+    plain = pages.select(*cols, column(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "__html"):
-            texts = [render(x) for x in batch.column("__html").to_pylist()]
+        for batch in text_chunks(batches, "html"):
+            texts = [render(x) for x in batch.column("html").to_pylist()]
             lines = [x.count("\n") + 1 if x else 0 for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(lines, pa.int64())], names=[*batch.schema.names[:-1], "__text", "__n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(lines, pa.int64())], names=[*batch.schema.names[:-1], "text", "n"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    out = plain.mapInArrow(run, schema + "__text string, __n long")
-    return out.select(*[F.col(f"`_{c}`").alias(c) for c in names], F.col("__text").alias(text_col), F.col("__n").alias("n_lines"))
+    out = plain.mapInArrow(run, with_fields(plain.drop("html"), StructField("text", StringType()), StructField("n", LongType())))
+    return out.select(*restored(names), F.col("text").alias(text_col), F.col("n").alias("n_lines"))
