@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.text import STOP_WORDS, let
+from ..functions.text import STOP_WORDS
 
-#: Bytes of query vectors, and rows of query terms, that are broadcast at once.
-QUERY_BYTES, QUERY_TERMS = 64 << 20, 1_000_000
-_BLOCK = 4096
+#: Bytes of query vectors, rows of query terms and bytes of evidence that are broadcast at once.
+QUERY_BYTES, QUERY_TERMS, ITEM_BYTES = 64 << 20, 1_000_000, 64 << 20
+#: Rows, and questions, that are scored at once; numbers in a table of counts.
+_BLOCK, _ASKED, _CELLS = 4096, 512, 1 << 22
 
 
 def ranked(rows: DataFrame, k: int | None = None, by: str = "score", question: str = "question_id", item: str = "chunk_id") -> DataFrame:
@@ -89,30 +95,108 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
+@dataclass
+class _Questions:
+    """Some questions: their terms, and which of them each has."""
+
+    ids: pa.Array
+    terms: pa.Array
+    has: np.ndarray
+
+
+def _question_blocks(asked: pa.Table) -> list[_Questions]:
+    """Blocks of questions from rows (question_id, term)."""
+    ids = asked.column("question_id").combine_chunks().dictionary_encode()
+    number, terms = ids.indices.to_numpy(), asked.column("term").combine_chunks()
+    out = []
+    for first in range(0, len(ids.dictionary), _ASKED):
+        mine = np.flatnonzero((number >= first) & (number < first + _ASKED))
+        named = terms.take(pa.array(mine)).dictionary_encode()
+        has = np.zeros((len(named.dictionary), min(_ASKED, len(ids.dictionary) - first)), dtype=np.float32)
+        has[named.indices.to_numpy(), number[mine] - first] = 1
+        out.append(_Questions(ids.dictionary.slice(first, has.shape[1]), named.dictionary, has))
+    return out
+
+
+def _best_rows(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of a table (rows by rising id, questions), the places of each question's ``k`` best above 0, ties to the first."""
+    if len(scores) <= k:
+        return scores > 0
+    least = -np.partition(-scores, k - 1, axis=0)[k - 1]
+    tie = scores == least
+    return (scores > 0) & ((scores > least) | (tie & (np.cumsum(tie, axis=0) <= k - (scores > least).sum(axis=0))))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], blocks: list[_Questions], runs: list[bool], k: int) -> Iterator[pa.RecordBatch]:
+    """(run, question_id, chunk_id, score): the ``k`` best of a task for each question; a run counts different terms or all."""
+    held: dict[tuple[int, int], pa.Table] = {}
+    for whole in batches:
+        whole = whole.take(pc.sort_indices(whole, sort_keys=[("chunk_id", "ascending")])) if whole.num_rows else whole
+        for at, block in enumerate(blocks):
+            width = max(1, _CELLS // max(1, len(block.terms)))
+            for first in range(0, whole.num_rows, width):
+                batch = whole.slice(first, width)
+                words = batch.column("terms")
+                term = pc.index_in(words.flatten(), value_set=block.terms)
+                row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                known = term.is_valid().to_numpy(zero_copy_only=False)
+                cell = row[known] * len(block.terms) + term.drop_null().to_numpy()
+                counts = np.bincount(cell, minlength=batch.num_rows * len(block.terms)).reshape(batch.num_rows, -1).astype(np.float32)
+                for run, different in enumerate(runs):
+                    scores = (counts > 0).astype(np.float32) @ block.has if different else counts.astype(np.float64) @ block.has.astype(np.float64)
+                    i, q = np.nonzero(_best_rows(scores, k))
+                    new = pa.table({"q": q, "score": scores[i, q].astype(np.float64), "chunk_id": batch.column("chunk_id").take(pa.array(i))})
+                    both = pa.concat_tables([held[run, at], new]) if (run, at) in held else new
+                    both = both.sort_by([("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+                    order = both.column("q").to_numpy()
+                    held[run, at] = both.filter(pa.array(np.arange(len(order)) - np.searchsorted(order, order) < k)).combine_chunks()
+    for (run, at), rows in held.items():
+        for part in rows.to_batches(max_chunksize=_BLOCK):
+            cols = [pa.repeat(pa.scalar(run, pa.int32()), part.num_rows), blocks[at].ids.take(part.column("q")), part.column("chunk_id"), part.column("score")]
+            yield pa.RecordBatch.from_arrays(cols, names=["run", "question_id", "chunk_id", "score"])
+
+
+def lexical_runs(questions: DataFrame, chunks: DataFrame, k: int, scorings: list[str]) -> DataFrame:
+    """(run, question_id, chunk_id, score, rank): the ranking of each scoring, all in one pass over the chunks.
+
+    Terms of the questions are broadcast in slices of bounded size; a task
+    counts them where chunks are read and keeps its best ``k`` a question, and
+    those meet in a window.
+    """
+    asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    slices = max(1, -(-asked.count() // QUERY_TERMS))
+    rows = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
+    schema = StructType([StructField("run", IntegerType()), asked.schema["question_id"], chunks.schema["chunk_id"], StructField("score", DoubleType())])
+    different, found = [x == "distinct" for x in scorings], None
+    for part in range(slices):
+        blocks = _question_blocks(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == part).toArrow())
+        shared = questions.sparkSession.sparkContext.broadcast(blocks)
+        made = rows.mapInArrow(lambda it, shared=shared: _scored(it, shared.value, different, k), schema)
+        found = made if found is None else found.unionByName(made)
+    order = Window.partitionBy("run", "question_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def lexical(questions: DataFrame, chunks: DataFrame, k: int, scoring: str = "occurrences", index: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, score, rank) by any of the question's terms.
 
-    ``occurrences`` counts them all, ``distinct`` the different ones.  Terms of
-    the questions are broadcast if they are few, so that chunks are counted
-    where they are read; else they are joined on the term.
+    ``occurrences`` counts them all, ``distinct`` the different ones.  With an
+    ``index`` (:func:`postings`) its rows are joined on the term.
     """
+    if index is None:
+        return lexical_runs(questions, chunks, k, [scoring]).drop("run")
     asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    if index is None and asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
-        words = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term"))
-        hits = words.join(F.broadcast(asked), "term").groupBy("question_id", "chunk_id")
-        score = F.count("*") if scoring == "occurrences" else F.count_distinct("term")
-    else:
-        hits = (index if index is not None else postings(chunks)).join(asked, "term").groupBy("question_id", "chunk_id")
-        score = F.sum("tf") if scoring == "occurrences" else F.count("*")
-    return ranked(hits.agg(score.cast("double").alias("score")), k)
+    score = F.sum("tf") if scoring == "occurrences" else F.count("*")
+    return ranked(index.join(asked, "term").groupBy("question_id", "chunk_id").agg(score.cast("double").alias("score")), k)
 
 
 def fuse(runs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (constant + rank), ties by first appearance in run order."""
-    both = None
-    for i, run in enumerate(runs):
-        part = run.select("question_id", "chunk_id", "rank", F.lit(i).alias("run"))
-        both = part if both is None else both.unionByName(part)
+    return fuse_rows(reduce(DataFrame.unionByName, (r.select(F.lit(i).alias("run"), "question_id", "chunk_id", "rank") for i, r in enumerate(runs))), k, constant)
+
+
+def fuse_rows(both: DataFrame, k: int, constant: int = 60) -> DataFrame:
+    """:func:`fuse` of rankings in one relation, told apart by ``run``."""
     score = F.round(F.sum(1.0 / (constant + F.col("rank"))), 12)
     out = both.groupBy("question_id", "chunk_id").agg(score.alias("score"), F.min(F.struct("run", "rank")).alias("seen"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "seen", "chunk_id")
@@ -145,29 +229,53 @@ def rerank(ranking: DataFrame, grades: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def failed_reranks(grades: DataFrame) -> DataFrame:
-    """Questions none of whose candidates was graded; a campaign reports them as failed."""
-    return grades.groupBy("question_id").agg(F.count("grade").alias("n")).where("n = 0").select("question_id")
+_AUTOMATA: dict[str, object] = {}
+
+
+def _standing(batches: Iterator[pa.RecordBatch], key: str, items: dict[str, list[int]], ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(item_id, doc_id) of texts that stand in a document, all looked for at once."""
+    if key not in _AUTOMATA:
+        import ahocorasick
+
+        _AUTOMATA.clear()
+        made = ahocorasick.Automaton()
+        for text, places in items.items():
+            made.add_word(text, places)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    automaton = _AUTOMATA[key]
+    for batch in batches:
+        rows, found = [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            if text and items:
+                got = {p for _, places in automaton.iter(text) for p in places}
+                rows += [i] * len(got)
+                found += sorted(got)
+        cols = [ids.take(pa.array(found, pa.int64())), batch.column("doc_id").take(pa.array(rows, pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["item_id", "doc_id"])
 
 
 def evidence(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the item's text stands in the document's.
 
-    An item's second to fifth words are words of such a document too, so both
-    meet on them; items of fewer than six words meet all documents, item by
-    item broadcast.
+    Items are broadcast in slices of bounded size and all looked for in one
+    pass over each document (Aho-Corasick); documents do not move.  Null and
+    empty items stand nowhere.
     """
-    word = F.split("text", r"[\x09-\x0D\x20]+")
-    keyed = items.select("item_id", F.col("text").alias("item"), F.when(F.size(word) >= 6, F.array_join(F.slice(word, 2, 4), " ")).alias("key"))
-    keys = keyed.select("key").where("key is not null").distinct()
-    grams = let(word, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " ")))
-    near = documents.select("doc_id", F.explode(grams).alias("key")).join(keys, "key").distinct()
-    long = near.join(keyed.where("key is not null"), "key").join(documents.select("doc_id", "text"), "doc_id")
-    found = long.where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    short = keyed.where("key is null and item <> ''")
-    if not short.isEmpty():
-        found = found.union(documents.join(short, F.contains("text", F.col("item"))).select("item_id", "doc_id"))
-    return found.distinct()
+    plain = items.where("text <> ''").select("item_id", "text").distinct()
+    size = plain.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    slices = max(1, -(-size // ITEM_BYTES))
+    schema = StructType([items.schema["item_id"], documents.schema["doc_id"]])
+    out = None
+    for part in range(slices):
+        rows = plain.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == part).toArrow()
+        by: dict[str, list[int]] = {}
+        for i, text in enumerate(rows.column("text").to_pylist()):
+            by.setdefault(text, []).append(i)
+        shared = documents.sparkSession.sparkContext.broadcast((uuid4().hex, by, rows.column("item_id").combine_chunks()))
+        made = documents.select("doc_id", "text").mapInArrow(lambda it, shared=shared: _standing(it, *shared.value), schema)
+        out = made if out is None else out.union(made)
+    return out.distinct()
 
 
 def pack_context(passages: DataFrame, most: int = 12_000) -> DataFrame:
