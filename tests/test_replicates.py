@@ -1,16 +1,24 @@
 """The registered resampling queries against plain ones of 5000 replicates."""
 
-from hashlib import md5
+from collections import Counter
 from statistics import fmean
 
+import numpy as np
 import pytest
 from veriscope import queries
+from veriscope.operators import stats
 
 N = 5000
 
 
 def draw(seed, b, k):
-    return int(md5(f"{seed}:{b}:{k}".encode()).hexdigest()[:8], 16)
+    p = 2**31 - 1
+    x = (seed * 1000003 + b * 48271 + 1) % p
+    y = (x * 16807 + k * 69621 + 7) % p
+    z = (y * y + x) % p
+    u = (z * 48271 + y) % p
+    v = (u * u + z) % p
+    return (v * 69621 + u) % p
 
 
 def bounds(v):
@@ -45,3 +53,28 @@ def test_comparison_shows_small_p(spark, small):
         p = (sum(abs(m) >= abs(fmean(d)) - 1e-12 for m in flips) + 1) / (N + 1)
         assert (r.ci_low, r.ci_high) == pytest.approx(bounds(d), abs=2e-6)
         assert r.p_value == pytest.approx(p, abs=1e-6) and p < 1 / 401
+
+
+def test_draws_are_even_and_apart():
+    b, k = np.arange(5000)[:, None], np.arange(200)[None]
+    got = stats.draw(42, b, k)
+    assert got[17, 23] == draw(42, 17, 23) and got.min() >= 0 and got.max() < 2**31 - 1
+    for n in (2, 7, 12, 200):
+        counts = np.array([x for _, x in sorted(Counter((got % n).ravel().tolist()).items())])
+        assert len(counts) == n and ((counts - got.size / n) ** 2 / (got.size / n)).sum() < n + 5 * (2 * n) ** 0.5
+    unit = got / (2**31 - 1) - 0.5  # neighbours in either direction, and the other seed, do not go together
+    for a, c in ((unit[1:], unit[:-1]), (unit[:, 1:], unit[:, :-1]), (unit, stats.draw(43, b, k) / (2**31 - 1) - 0.5)):
+        assert abs((a * c).mean()) * 12 * a.size**0.5 < 4.5
+
+
+def test_blocks_and_runs(spark, monkeypatch):
+    rows = [("a", i, float(i % 11)) for i in range(50)] + [("b", 3, 7.0), ("c", 1, None)]
+    series = spark.createDataFrame(rows, "metric string, question_id long, value double")
+    whole = {(r.metric, r.b): r.m for r in stats.bootstrap_means(series, ["metric"], 40).collect()}
+    v = [x for m, _, x in rows if m == "a"]
+    assert whole["a", 5] == pytest.approx(fmean(v[draw(42, 5, k) % 50] for k in range(50))) and whole["b", 0] == 7.0 and len(whole) == 80
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    monkeypatch.setattr(stats, "DRAWS", 8)
+    monkeypatch.setattr(stats, "TASKS", 3)
+    cut = {(r.metric, r.b): r.m for r in stats.bootstrap_means(series, ["metric"], 40).collect()}
+    assert cut == pytest.approx(whole)

@@ -1,24 +1,52 @@
-"""Resampling tests as joins on a counter-based random source.
-
-The k-th draw of replicate b is ``md5(seed:b:k)``, so results depend on neither
-engine nor partitioning.  A series is a set of rows (keys, question_id, value);
-all series are resampled in one plan.
+"""Resampling tests from a counter-based random source.
+
+The k-th draw of replicate b is a fixed mix of (seed, b, k) modulo the prime
+2**31 - 1, so results depend on neither engine nor partitioning, and any engine
+with 64-bit integers gives the same.  A series is a set of rows (keys,
+question_id, value); all series are resampled in one plan: values lie in blocks
+of bounded size, a task draws some replicates of a series and sums what falls
+into its block, and only sums move.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 REPLICATES = 5000
+#: Values of a block, draws that are made at once, and tasks at most that a block's replicates are dealt to.
+BLOCK, DRAWS, TASKS = 1 << 16, 1 << 18, 64
+PRIME = (1 << 31) - 1
+
+
+def _mod(v: np.ndarray) -> np.ndarray:
+    v = (v & PRIME) + (v >> 31)
+    v = (v & PRIME) + (v >> 31)
+    return np.where(v >= PRIME, v - PRIME, v)
+
+
+def draw(seed: int, b: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th draw, below 2**31 - 1, of replicate b; :data:`DRAW_SQL` is the same in SQL."""
+    x = _mod(seed * 1000003 + b * 48271 + 1)
+    y = _mod(x * 16807 + k * 69621 + 7)
+    z = _mod(y * y + x)
+    u = _mod(z * 48271 + y)
+    v = _mod(u * u + z)
+    return _mod(v * 69621 + u)
 
 
-def _draw(seed: int, b: Column, k: Column) -> Column:
-    text = F.concat(F.lit(f"{seed}:"), b.cast("string"), F.lit(":"), k.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+#: Select items that end in ``drawn``, the draw of a row's ``b`` and ``k``.
+DRAW_SQL = (
+    "({seed} * 1000003 + b * 48271 + 1) % 2147483647 AS dx, (dx * 16807 + k * 69621 + 7) % 2147483647 AS dy, (dy * dy + dx) % 2147483647 AS dz, "
+    "(dz * 48271 + dy) % 2147483647 AS du, (du * du + dz) % 2147483647 AS dv, (dv * 69621 + du) % 2147483647 AS drawn"
+)
 
 
 def _indexed(series: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -28,13 +56,51 @@ def _indexed(series: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("j", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).join(sizes, keys)
 
 
+def _sums(series: DataFrame, keys: list[str], replicates: int, seed: int, order: str, flips: bool) -> DataFrame:
+    """(keys, b, m): the mean of each resample, or with ``flips`` of the values under random signs."""
+    rows = _indexed(series, keys, order)
+    block = F.floor(F.col("j") / BLOCK)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: x["value"].cast("double"))
+    blocks = rows.groupBy(*keys, "n", block.alias("block")).agg(values.alias("v"))
+    # replicates of a series are dealt in runs of about as many draws each
+    run = F.least(F.lit(replicates), F.greatest(F.floor(F.lit(16 * DRAWS) / F.col("n")), F.lit(-(-replicates // TASKS)))).cast("int")
+    work = blocks.withColumn("run", run).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("run"))))
+    work = work.repartition(*keys, "block", "first")
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("b", LongType()), StructField("n", LongType()), StructField("s", DoubleType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, at, first, size = (batch.column(c)[i].as_py() for c in ("n", "block", "first", "run"))
+                v = batch.column("v")[i].values.to_numpy(zero_copy_only=False)
+                b, out = np.arange(first, min(first + size, replicates)), []
+                wide = max(1, DRAWS // max(1, len(v) if flips else n))
+                for lo in range(0, len(b), wide):
+                    some = b[lo : lo + wide, None]
+                    if flips:
+                        sign = 1 - 2 * (draw(seed, some, np.arange(at * BLOCK, at * BLOCK + len(v))[None]) % 2)
+                        out.append((sign * v[None]).sum(axis=1))
+                        continue
+                    total = np.zeros(len(some))
+                    for k in range(0, n, DRAWS):
+                        j = draw(seed, some, np.arange(k, min(k + DRAWS, n))[None]) % n - at * BLOCK
+                        if n > BLOCK:
+                            inside = (j >= 0) & (j < len(v))
+                            total += np.where(inside, v[np.where(inside, j, 0)], 0.0).sum(axis=1)
+                        else:
+                            total += v[j].sum(axis=1)
+                    out.append(total)
+                cols = [pa.repeat(batch.column(c)[i], len(b)) for c in keys]
+                cols += [pa.array(b, pa.int64()), pa.array(np.full(len(b), n)), pa.array(np.concatenate(out))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "b", "n", "s"])
+
+    made = work.mapInArrow(sums, schema)
+    return made.groupBy(*keys, "b", "n").agg(F.sum("s").alias("s")).select(*keys, "b", (F.col("s") / F.col("n")).alias("m"))
+
+
 def bootstrap_means(series: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 42, order: str = "question_id") -> DataFrame:
     """(keys, b, m): the mean of each resample."""
-    rows = _indexed(series, keys, order)
-    # a series' draws are dealt by place, so that no task holds all of a long one's
-    draws = rows.select(*keys, "n", F.col("j").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = draws.select(*keys, "b", (_draw(seed, F.col("b"), F.col("k")) % F.col("n")).alias("j"))
-    return drawn.join(rows.select(*keys, "j", "value"), [*keys, "j"]).groupBy(*keys, "b").agg(F.avg("value").alias("m"))
+    return _sums(series, keys, replicates, seed, order, flips=False)
 
 
 def interval(means: DataFrame, keys: list[str], replicates: int, alpha: float = 0.05) -> DataFrame:
@@ -73,9 +139,7 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], replicates: int = REPLIC
         F.count_if(F.col("b") > F.col("a")).alias("n_better"), F.count_if(F.col("b") < F.col("a")).alias("n_worse"), F.count_if(F.col("b") == F.col("a")).alias("n_tied"),
     )
     bounds = interval(bootstrap_means(deltas, keys, replicates, seed), keys, replicates)
-    rows = _indexed(deltas, keys, "question_id").select(*keys, "value", F.col("j").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    sign = F.when(_draw(seed + 1, F.col("b"), F.col("k")) % 2 == 0, F.col("value")).otherwise(-F.col("value"))
-    flipped = rows.groupBy(*keys, "b").agg(F.avg(sign).alias("m")).join(plain.select(*keys, "delta"), keys)
+    flipped = _sums(deltas, keys, replicates, seed + 1, "question_id", flips=True).join(plain.select(*keys, "delta"), keys)
     extreme = flipped.groupBy(*keys).agg(F.count_if(F.abs("m") >= F.abs("delta") - 1e-12).alias("extreme"))
     out = plain.join(bounds, keys).join(extreme, keys).withColumn("p_value", (F.col("extreme") + 1) / F.lit(replicates + 1)).drop("extreme")
     significant = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)

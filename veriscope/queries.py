@@ -195,7 +195,7 @@ def _series(rows: str, keys: str = "run_id, metric", replicates: int = REPLICATE
     """``means`` (keys, b, m) and ``bounds`` of ``rows`` (keys, question_id, value)."""
     low, high = int(0.025 * replicates), min(replicates - 1, int(0.975 * replicates))
     return f"""placed AS (SELECT {keys}, value, row_number() OVER (PARTITION BY {keys} ORDER BY question_id) - 1 AS j, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows} WHERE value IS NOT NULL),
-  draws AS (SELECT {keys}, b, {_n("'42:' || b || ':' || j")} % n AS j FROM placed, range({replicates}) r(b)),
+  draws AS (SELECT {keys}, b, {X.DRAW_SQL.format(seed=42)}, drawn % n AS j FROM (SELECT {keys}, n, j AS k, b FROM placed, range({replicates}) r(b))),
   means AS (SELECT {keys}, b, avg(value) AS m FROM draws JOIN placed USING ({keys}, j) GROUP BY ALL),
   bounds AS (SELECT {keys}, max(m) FILTER (r = {low}) AS ci_low, max(m) FILTER (r = {high}) AS ci_high
   FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY m) - 1 AS r FROM means) GROUP BY {keys})"""
@@ -205,7 +205,8 @@ PAIRS = SCORES + """, pairs AS (SELECT a.metric, a.question_id, a.value AS a, b.
   WHERE a.run_id = 'click' AND b.run_id = 'view' AND a.value IS NOT NULL AND b.value IS NOT NULL), deltas AS (SELECT metric, question_id, b - a AS value FROM pairs)"""
 COMPARED = PAIRS + ", " + _series("deltas", "metric") + f""", plain AS (SELECT metric, avg(a) AS mean_a, avg(b) AS mean_b, avg(b - a) AS delta, count(*) AS n_pairs,
   count(*) FILTER (b > a) AS n_better, count(*) FILTER (b < a) AS n_worse, count(*) FILTER (b = a) AS n_tied FROM pairs GROUP BY 1),
-  flipped AS (SELECT metric, b, avg(CASE WHEN {_n("'43:' || b || ':' || j")} % 2 = 0 THEN value ELSE -value END) AS m FROM placed, range({REPLICATES}) r(b) GROUP BY ALL),
+  signs AS (SELECT metric, b, value, {X.DRAW_SQL.format(seed=43)} FROM (SELECT metric, value, j AS k, b FROM placed, range({REPLICATES}) r(b))),
+  flipped AS (SELECT metric, b, avg(CASE WHEN drawn % 2 = 0 THEN value ELSE -value END) AS m FROM signs GROUP BY ALL),
   tested AS (SELECT p.*, ci_low, ci_high, ((SELECT count(*) FROM flipped f WHERE f.metric = p.metric AND abs(f.m) >= abs(p.delta) - 1e-12) + 1) / {REPLICATES + 1}::DOUBLE AS p_value
   FROM plain p JOIN bounds USING (metric))"""
 MCNEMAR = """counted AS (SELECT metric, count(*) FILTER (b > a) AS b_wins, count(*) FILTER (a > b) AS a_wins FROM pairs GROUP BY 1 HAVING bool_and(a IN (0, 1) AND b IN (0, 1))),
@@ -356,8 +357,8 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {POSTINGS}, {_lexical('a', 'sum(tf)')}, {_lexical('b', 'count(*)')}, {_fused(['a', 'b'], 10)} SELECT question_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM fused"
 )
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    runs = [lexical_ranking(spark, sf), lexical_ranking(spark, sf, "distinct")]
-    return rounded(R.fuse(runs, 10).select("question_id", "chunk_id", "score", "rank"))
+    both = R.lexical_runs(questions(spark, sf), chunks(spark, sf), 10, ["occurrences", "distinct"])
+    return rounded(R.fuse_rows(both, 10).select("question_id", "chunk_id", "score", "rank"))
 
 
 @query(f"WITH {DENSE} SELECT question_id, chunk_id, document_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY rank) AS n FROM ranking) WHERE n <= 2")
