@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import metrics as M
+from .operators import runs as U
 
 
 @dataclass
@@ -69,9 +71,9 @@ def optional(name: str, module: str) -> None:
 
 def check(evaluator: Evaluator, run: Run) -> tuple[list[str], list[str]]:
     """(what is missing, warnings)."""
-    blocking = [n for n in evaluator.needs if getattr(run, n) is None and n not in run.completions]
-    warn = ["the judge is the generator"] if evaluator.judged and run.judge and run.judge == run.generator else []
-    return blocking, warn
+    blocking = [n for n in evaluator.needs if getattr(run, n, None) is None and n not in run.completions]
+    doubts = ["the judge is the generator"] if evaluator.judged and run.judge and run.judge == run.generator else []
+    return blocking, doubts
 
 
 @register("native.ir", ("ranking", "gold"))
@@ -85,14 +87,29 @@ def _answer(run: Run) -> DataFrame:
     return M.answer_metrics(run.predictions)
 
 
+def _with_means(rows: DataFrame, named: dict[str, str], *more: DataFrame) -> DataFrame:
+    """Score rows and, without a question, the means of some of their metrics, and ``more`` aggregates (metric, value, ...)."""
+    for part in (U.run_means(rows, named), *more):
+        rows = rows.unionByName(part.select(F.lit(None).cast(rows.schema["question_id"].dataType).alias("question_id"), "metric", F.col("value").cast("double").alias("value")))
+    return rows
+
+
 @register("native.nuggets", ("facts", "passages"))
 def _nuggets(run: Run) -> DataFrame:
-    return M.nugget_recall(M.nugget_support(run.facts, run.passages, run.options.get("threshold", 0.6)))
+    """Lexical support, or with the option ``nugget_mode=judge`` the completions ``nuggets`` (question_id, fact_id, supported)."""
+    if run.options.get("nugget_mode") == "judge":
+        if "nuggets" not in run.completions:
+            raise ValueError("nugget_mode=judge needs the judge's replies: see runner.judge_nuggets")
+        support = run.completions["nuggets"]
+    else:
+        support = M.nugget_support(run.facts, run.passages, run.options.get("nugget_threshold", run.options.get("threshold", 0.6)))
+    return _with_means(M.nugget_recall(support), {"nugget_recall": "mean_nugget_recall", "nugget_full_coverage": "mean_nugget_full_coverage"})
 
 
 @register("native.erag", ("utilities",), judged=True)
 def _erag(run: Run) -> DataFrame:
-    return M.erag(run.completions["utilities"])
+    rows = run.completions["utilities"]
+    return _with_means(M.erag(rows), {"erag_ndcg": "mean_erag_ndcg", "erag_best_utility": "mean_erag_best_utility"}, U.utility_by_rank(rows))
 
 
 @register("native.claims", ("verdicts",), judged=True)
@@ -105,13 +122,18 @@ optional("deepeval", "deepeval")
 
 
 def evaluate(run: Run, names: list[str], judge: str | None = None) -> DataFrame:
-    """Score rows (run_id, question_id, evaluator, metric, value) of all evaluators; a judge of its own is part of the evaluator's name."""
+    """Score rows (run_id, question_id, evaluator, metric, value) of all evaluators; a judge of its own is part of the evaluator's name.
+
+    Doubts (see :func:`check`) are given as warnings.
+    """
     out = None
     for name in names:
         e = get(name)
-        missing, _ = check(e, run)
+        missing, doubts = check(e, run)
         if missing:
             raise ValueError(f"{name} needs {', '.join(missing)}")
+        for doubt in doubts:
+            warnings.warn(f"{name}: {doubt}", stacklevel=2)
         label = f"{name}@{judge}" if judge and e.judged else name
         rows = e.evaluate(run).select(F.lit(run.run_id).cast("long").alias("run_id"), "question_id", F.lit(label).alias("evaluator"), "metric", "value")
         out = rows if out is None else out.unionByName(rows)

@@ -124,26 +124,48 @@ def nugget_recall(support_rows: DataFrame) -> DataFrame:
     return long_form(row, ["question_id"], [("nugget_recall", F.col("r")), ("nugget_full_coverage", F.col("r") >= FULL)])
 
 
+def missing_facts(support_rows: DataFrame, facts: DataFrame, most: int = 5, width: int = 200) -> DataFrame:
+    """(question_id, missing): the first facts without support, cut to ``width``; an empty array if there are none."""
+    rows = support_rows.join(facts.select("question_id", "fact_id", "fact"), ["question_id", "fact_id"])
+    lost = F.collect_list(F.when(~F.col("supported"), F.struct("fact_id", F.substring("fact", 1, width).alias("fact"))))
+    return rows.groupBy("question_id").agg(F.transform(F.slice(F.array_sort(lost), 1, most), lambda x: x["fact"]).alias("missing"))
+
+
+def _grid(ranking: DataFrame, ks: list[int]) -> DataFrame:
+    return F.broadcast(ranking.sparkSession.createDataFrame([(k,) for k in ks], "k int"))  # a few rows
+
+
+def _document_prefixes(ranking: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
+    """(question_id, k, n_gold, n): gold documents among the first ``k`` passages."""
+    wanted = gold.select("question_id", "document_id").distinct()
+    n_gold = wanted.groupBy("question_id").agg(F.count("*").alias("n_gold"))
+    first = ranking.groupBy("question_id", "document_id").agg(F.min("rank").alias("rank")).join(wanted, ["question_id", "document_id"])
+    found = n_gold.join(first, "question_id", "left").crossJoin(_grid(ranking, ks))
+    return found.groupBy("question_id", "k", "n_gold").agg(F.count_if(F.col("rank") <= F.col("k")).alias("n"))
+
+
+def _of_documents() -> list[tuple[str, Column]]:
+    return [("doc_recall", F.col("n") / F.col("n_gold")), ("hit_rate", F.col("n") > 0)]
+
+
+def document_curve(ranking: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
+    """(question_id, k, metric, value): doc_recall and hit_rate of every prefix of ``k`` passages."""
+    return long_form(_document_prefixes(ranking, gold, ks), ["question_id", "k"], _of_documents())
+
+
 def recall_curve(ranking: DataFrame, gold: DataFrame, facts: DataFrame, passages: DataFrame, ks: list[int]) -> DataFrame:
     """(question_id, k, metric, value) of every prefix of ``k`` passages of one ranking.
 
     doc_recall and hit_rate need gold; nugget metrics need facts, and are null
     without.
     """
-    grid = ranking.sparkSession.createDataFrame([(k,) for k in ks], "k int")  # a few rows
-    wanted = gold.select("question_id", "document_id").distinct()
-    n_gold = wanted.groupBy("question_id").agg(F.count("*").alias("n_gold"))
-    first = ranking.groupBy("question_id", "document_id").agg(F.min("rank").alias("rank")).join(wanted, ["question_id", "document_id"])
-    found = n_gold.join(first, "question_id", "left").crossJoin(F.broadcast(grid)).groupBy("question_id", "k", "n_gold").agg(F.count_if(F.col("rank") <= F.col("k")).alias("n"))
     tokens = passages.select("question_id", "rank", nugget_tokens(F.col("text")).alias("p"))
     f = facts.select("question_id", "fact_id", nugget_tokens(F.col("fact")).alias("f"))
     share = F.when(support(F.col("f"), F.col("p")) >= 0.6, F.col("rank"))
     ranks = f.join(tokens, "question_id", "left").groupBy("question_id", "fact_id").agg(F.min(share).alias("rank"))
-    nuggets = ranks.crossJoin(F.broadcast(grid)).groupBy("question_id", "k").agg(F.avg(F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).cast("double")).alias("r"))
-    row = found.join(nuggets, ["question_id", "k"], "left")
-    return long_form(row, ["question_id", "k"], [
-        ("doc_recall", F.col("n") / F.col("n_gold")), ("hit_rate", F.col("n") > 0), ("nugget_recall", F.col("r")), ("nugget_full_coverage", F.col("r") >= FULL),
-    ])
+    nuggets = ranks.crossJoin(_grid(ranking, ks)).groupBy("question_id", "k").agg(F.avg(F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).cast("double")).alias("r"))
+    row = _document_prefixes(ranking, gold, ks).join(nuggets, ["question_id", "k"], "left")
+    return long_form(row, ["question_id", "k"], [*_of_documents(), ("nugget_recall", F.col("r")), ("nugget_full_coverage", F.col("r") >= FULL)])
 
 
 def erag(utilities: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import Store
+
 COMPLETION = "prompt_id string, text string, prompt_tokens int, completion_tokens int"
 
 
@@ -38,10 +40,14 @@ class Canned:
 
 
 class Called:
-    """Completions by a function of (role, prompt), called in as many tasks as ``concurrency``; a call that fails thrice is null."""
+    """Completions by a function of (role, prompt), called in as many tasks as ``concurrency``; a call that fails thrice is null.
+
+    With ``seed`` the function is given it as a third argument.
+    """
 
-    def __init__(self, call: Callable[[str, str], tuple[str, int, int]], concurrency: int = 4, tries: int = 3, wait: float = 2.0) -> None:
-        self.call, self.concurrency, self.tries, self.wait = call, concurrency, tries, wait
+    def __init__(self, call: Callable[..., tuple[str, int, int]], concurrency: int = 4, tries: int = 3, wait: float = 2.0, seed: int | None = None) -> None:
+        self.call = call if seed is None else lambda role, prompt: call(role, prompt, seed)
+        self.concurrency, self.tries, self.wait = concurrency, tries, wait
 
     def __call__(self, prompts: DataFrame) -> DataFrame:
         call, tries, wait = self.call, self.tries, self.wait
@@ -63,8 +69,54 @@ class Called:
         return prompts.select("prompt_id", "role", "prompt").repartition(self.concurrency, "prompt_id").mapInPandas(run, COMPLETION)
 
 
+class Recorded:
+    """Completions that are asked for once and written; every branch of a plan, every retry and a resumed run read the same ones.
+
+    They are kept in the store's table ``completions`` by prompt id and a hash
+    of the prompt.  A call that failed is asked for again when the prompt is.
+    """
+
+    def __init__(self, provider: Provider, store: Store) -> None:
+        self.provider, self.store = provider, store
+
+    def __call__(self, prompts: DataFrame) -> DataFrame:
+        keys = ["prompt_id", "prompt_hash"]
+        asked = prompts.withColumn("prompt_hash", F.md5(F.col("prompt").cast("binary")))
+        have = self.store.read_all("completions", RECORD)
+        new = asked.join(have.where("text is not null"), keys, "left_anti")
+        done = new.select(*keys, "role").join(self.provider(new.select("prompt_id", "role", "prompt")), "prompt_id", "left")
+        done = done.withColumn("at", F.current_timestamp()).select(*[c.split()[0] for c in RECORD.split(", ")])
+        self.store.append("completions", done)
+        last = F.max_by(F.struct("text", "prompt_tokens", "completion_tokens"), "at").alias("x")
+        known = self.store.read_all("completions", RECORD).groupBy(*keys).agg(last)
+        return asked.select(*keys).join(known, keys, "left").select("prompt_id", "x.*")
+
+
+RECORD = "prompt_id string, prompt_hash string, role string, text string, prompt_tokens int, completion_tokens int, at timestamp"
+
+
+def probe(call: Callable[[], object]) -> tuple[bool, str]:
+    """(whether a service answers, what it says or the error)."""
+    try:
+        return True, str(call())
+    except Exception as e:  # noqa: BLE001 - a report of what fails
+        return False, f"{type(e).__name__}: {e}"
+
+
+def by_index(rows: list[tuple[int, list[float]]], n: int) -> list[list[float]]:
+    """Vectors of (place, vector) rows in the order of the texts, however they came; a missing one is an error."""
+    out = [v for _, v in sorted(rows, key=lambda r: r[0])]
+    if [i for i, _ in sorted(rows, key=lambda r: r[0])] != list(range(n)):
+        raise ValueError(f"{len(rows)} vectors for {n} texts, or places that repeat")
+    return out
+
+
 class Embedder:
-    """Vectors by a function of a list of texts, in batches, within tasks."""
+    """Vectors by a function of a list of texts, in batches, within tasks.
+
+    The function gives a vector a text in their order, or (place, vector) rows
+    in any.
+    """
 
     def __init__(self, call: Callable[[list[str]], list[list[float]]], batch: int = 32) -> None:
         self.call, self.batch = call, batch
@@ -76,7 +128,13 @@ class Embedder:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 texts = [prefix + (t or "") for t in frame[text]]
-                made = [v for k in range(0, len(texts), batch) for v in call(texts[k : k + batch])]
+                made: list[list[float]] = []
+                for k in range(0, len(texts), batch):
+                    some = texts[k : k + batch]
+                    got = list(call(some))
+                    if len(got) != len(some):
+                        raise ValueError(f"{len(got)} vectors for {len(some)} texts")
+                    made += by_index(got, len(some)) if isinstance(got[0], tuple) else got
                 yield frame.assign(vector=made)
 
         return rows.mapInPandas(run, schema)

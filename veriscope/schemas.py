@@ -13,13 +13,18 @@ PREDICTIONS = (
 SCORES = "run_id long, question_id long, evaluator string, metric string, value double, detail string"
 ANNOTATIONS = "run_id long, question_id long, metric string, value double, annotator string, notes string"
 CONFIGS = "hash string, name string, payload string"
-RUNS = "run_id long, config_hash string, dataset string, status string, created timestamp, warnings array<string>, version long"
+INDEXES = "index_id string, dataset string, index_hash string, n_chunks long, dim int"
+RUNS = (
+    "run_id long, config_hash string, dataset string, index_id string, label string, status string, warnings array<string>, n_questions long, "
+    "n_failed long, usage string, created timestamp, finished timestamp"
+)
 
 #: Natural keys, by which an upsert replaces rows.
 KEYS = {
     "datasets": ["name"],
     "documents": ["dataset", "external_id"],
     "questions": ["dataset", "external_id"],
+    "indexes": ["index_id"],
     "chunks": ["index_id", "document_id", "ordinal"],
     "configs": ["hash"],
     "runs": ["run_id"],

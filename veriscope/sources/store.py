@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import KEYS
+from ..schemas import INDEXES, KEYS
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -67,19 +67,46 @@ class Store:
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={(have or [0])[-1] + 1}")
         return self.read(table)
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows to a table that only grows."""
+        rows.write.mode("append").parquet(f"{self.root}/{table}")
+
+    def read_all(self, table: str, schema: str) -> DataFrame:
+        """A table that only grows, as it is now; empty before the first row."""
+        path = f"{self.root}/{table}"
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath):
+            return self.spark.read.schema(schema).parquet(path)
+        return self.spark.createDataFrame([], schema)
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write a step of a plan and read it back."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
     def vacuum(self, table: str, keep: int = 2) -> None:
         for v in self._versions(table)[:-keep]:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v={v}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def ensure_index(self, index_id: str, make, force: bool = False) -> DataFrame:
-        """The chunks of an index, made once; an index with rows is used again."""
+    def ensure_index(self, index_id: str, make, force: bool = False, dataset: str = "", index_hash: str = "") -> tuple[DataFrame, bool]:
+        """(chunks of an index, whether they were there): made once; an index with chunks is used again.
+
+        The manifest ``indexes`` has its number of chunks and their dimension.
+        """
         path = f"{self.root}/chunks/index_id={index_id}"
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if force or not jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath):
+        known = self.read("indexes", INDEXES).where((F.col("index_id") == index_id) & (F.col("n_chunks") > 0))
+        reused = not force and not known.isEmpty()
+        if not reused:
             make().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+            chunks = self.spark.read.parquet(path)
+            self.upsert("indexes", index_sizes(chunks.withColumn("index_id", F.lit(index_id))).select(
+                "index_id", F.lit(dataset).alias("dataset"), F.lit(index_hash).alias("index_hash"), "n_chunks", "dim"
+            ))
+        return self.spark.read.parquet(path), reused
 
 
 def index_sizes(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("index_id").agg(F.count("*").alias("n_chunks"))
+    """(index_id, n_chunks, dim) of chunks; ``dim`` is null without vectors."""
+    dim = F.max(F.size("vector")) if "vector" in chunks.columns else F.lit(None)
+    return chunks.groupBy("index_id").agg(F.count("*").alias("n_chunks"), dim.cast("int").alias("dim"))
