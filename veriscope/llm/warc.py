@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, open_fs, partitions, shared_path, text_chunks
+from .common import column, materialise, open_fs, partitions, shared_path, text_chunks
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 100
@@ -103,8 +103,93 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): which rows are written in full.
 
     Of equal payloads of ``min_revisit`` bytes or more, the one with the
-    smallest page_id is; the others refer to it.  Only payloads that occur
-    twice enter the join.
+    smallest page_id is; the others refer to it.  What refers is decided on ids
+    and digests alone.
+    """
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    facts = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+    several = facts.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    later = facts.join(several.where("n > 1").select("digest", "first").hint("merge"), "digest").where("page_id is null or page_id > first")
+    later = later.select("digest", F.col("page_id").isNull().alias("bare"), F.coalesce("page_id", F.lit(0)).alias("id"), "first").distinct()
+    # payloads are joined by digest and id, so that a payload that is everywhere doesn't meet in one task
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.col("page_id").isNull().alias("bare"), F.coalesce("page_id", F.lit(0)).alias("id"))
+    joined = rows.join(later.hint("merge"), ["digest", "bare", "id"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
+
+
+_LINES = 3000
+DATE = "1970-01-01T00:00:00Z"
+_FILES: dict[str, object] = {}
+
+
+def url_key(url: str | None) -> str:
+    """Sort key of a URL: host labels reversed, then path and query; without a host, the URL after ``)``."""
+    text = "" if url is None else "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url)
+    try:
+        parts = urlsplit(text)
+        host, port = parts.hostname or "", parts.port
+    except ValueError:
+        host, port = "", None
+    if not host:
+        return ")" + text
+    host = host.removeprefix("www.")
+    default = {"http": 80, "https": 443}.get(parts.scheme)
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port != default else "") + ")" + (parts.path or "/")
+    return key + (f"?{parts.query}" if parts.query else "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """One WARC record as a gzip member."""
+    target = "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url or "urn:none")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = http if refers_to is not None else http + payload
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Target-URI: {target}",
+        f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha256:{digest}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(body)}",
+    ]
+    if refers_to is not None:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return gzip.compress(raw, 6, mtime=0)
+
+
+def parse_record(member: bytes) -> dict:
+    """A record's fields, with its payload where it has one; its digest is checked."""
+    raw = gzip.decompress(member)
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    body = rest[: int(fields["Content-Length"])]
+    http, _, payload = body.partition(b"\r\n\r\n")
+    length = int(next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")))
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+
+    def page(name: str) -> int | None:
+        value = fields.get(name, "<urn:page:None>")[10:-1]
+        return None if value == "None" else int(value)
+
+    if fields["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"damaged record of page {page('WARC-Record-ID')}")
+    return {
+        "page_id": page("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest,
+        "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To"), "payload": payload if fields["WARC-Type"] == "response" else None,
+    }
+
+
+def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to): which rows are written in full.
+
+    Of equal payloads of ``min_revisit`` bytes or more, the one with the
+    smallest page_id is; the others refer to it.  What refers is decided on ids
+    and digests alone.
     """
     facts = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     facts = facts.withColumn("digest", F.sha2("payload", 256))
@@ -285,7 +370,7 @@ def write(pages: DataFrame, path: str | None = None, min_revisit: int = MIN_REVI
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    plain = pages.select(column("page_id").cast("long"), column("url").cast("string"), column("html").cast("string"))
     lines = materialise(write_archives(decide(plain, min_revisit), path), "captures")
     write_index(lines, path).write.parquet(f"{path}/shards")
     return Archive(spark, path)
