@@ -6,14 +6,16 @@ NumPy step code the same place of hundreds of blocks ("lanes") at once.
 Model of a block.  Order 2 and order 1 predict the id that last followed the
 last two ids, or the last one, with a small confidence; how often a prediction
 of some confidence comes true is learned.  Order 0 predicts every id that the
-block has had by its frequency, refreshed at each doubling of the block's
-length, with the share of ids met once (Good-Turing) for ids yet unmet.  The
+block has had by its frequency, refreshed each time that the block has grown by
+half, with the share of ids met once (Good-Turing) for ids yet unmet.  The
 three are mixed: the weights of orders 1 and 2 follow the likelihood that each
-gave to the ids so far.
+gave to the ids so far, an id that both predict has the sum of their shares,
+and order 0 shares what they leave.
 
 Coder.  A range coder on 48 bits that emits 16-bit words; carries run back
-into words already emitted.  All arithmetic is on integers, or on doubles by
-+, -, * and / alone, so that every machine decodes alike.
+into words already emitted.  All arithmetic is on integers, or on 32-bit floats
+by +, -, * and / alone, each rounded as IEEE 754 has it, so that every machine
+decodes alike.
 """
 
 from __future__ import annotations
@@ -24,56 +26,60 @@ BLOCK_IDS = 4096
 _U = np.uint64
 _TOP, _MIN = _U(1) << _U(48), _U(1) << _U(32)
 _LOW = _U((1 << 32) - 1)
-#: Slots of a lane's order-1 and order-2 tables, confidences, least share of order 0.
-_SLOTS1, _SLOTS2, _CONF, _LEAST = 2048, 4096, 4, 2048.0
+#: Slots of a lane's order-1 and order-2 tables, confidences.
+_SLOTS1, _SLOTS2, _CONF = 2048, 4096, 4
+#: What orders 1 and 2 can have of 65536; the rate that hits are learned at; how weights are held and lifted.  32-bit floats throughout.
+_ROOM, _RATE, _HOLD, _LIFT, _ONE = (np.float32(x) for x in (65536 - 2048, 0.03125, 0.96, 0.02, 1))
 
 
 class _Model:
     """Orders 1 and 2 of all lanes, and the mixing weights."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, wide: bool) -> None:
         at = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2, self.base_h = at * _SLOTS1, at * _SLOTS2, at * _CONF
-        self.table = np.zeros(lanes * _SLOTS1, dtype=np.int64), np.zeros(lanes * _SLOTS2, dtype=np.int64)
-        start = np.array([0.02, 0.3, 0.6, 0.8])
+        kind = np.int64 if wide else np.int32
+        self.table = np.zeros(lanes * _SLOTS1, dtype=kind), np.zeros(lanes * _SLOTS2, dtype=kind)
+        start = np.array([0.02, 0.3, 0.6, 0.8], dtype=np.float32)
         self.hits = np.tile(start, lanes), np.tile(start, lanes)
-        self.w1, self.w2 = np.full(lanes, 0.5), np.full(lanes, 0.5)
+        self.w1 = np.full(lanes, 0.5, dtype=np.float32)
         self.prev1, self.prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """(id by order 1, its width, id by order 2, its width); widths are parts of 65536."""
-        self.i1 = self.base1 + ((self.prev1 * 0x9E3779B1 >> 15) & (_SLOTS1 - 1))
-        self.i2 = self.base2 + (((self.prev2 * 0x85EBCA6B + self.prev1 * 0x9E3779B1) >> 13) & (_SLOTS2 - 1))
-        e1, e2 = self.table[0][self.i1], self.table[1][self.i2]
+        near = self.prev1 * 0x9E3779B1
+        self.i1 = self.base1 + ((near >> 15) & (_SLOTS1 - 1))
+        self.i2 = self.base2 + (((self.prev2 * 0x85EBCA6B + near) >> 13) & (_SLOTS2 - 1))
+        e1, e2 = self.table[0].take(self.i1), self.table[1].take(self.i2)
         self.c1, self.c2 = e1 & 3, e2 & 3
         self.k1, self.k2 = self.base_h + self.c1, self.base_h + self.c2
-        self.h1, self.h2 = self.hits[0][self.k1], self.hits[1][self.k2]
+        self.h1, self.h2 = self.hits[0].take(self.k1), self.hits[1].take(self.k2)
         self.p1, self.p2 = e1 >> 2, e2 >> 2  # an id plus one; 0: none yet
-        room = 65536.0 - _LEAST
-        m1 = (self.w1 * self.h1 * room).astype(np.int64) + 1
-        m2 = (self.w2 * self.h2 * room).astype(np.int64) + 1
-        return self.p1, m1, self.p2, m2
+        m1 = (self.w1 * self.h1 * _ROOM).astype(np.int64) + 1
+        m2 = ((_ONE - self.w1) * self.h2 * _ROOM).astype(np.int64) + 1
+        both = m1 * (self.p1 == self.p2)  # one id that both predict has the sum of both shares
+        return self.p1, m1 - both, self.p2, m2 + both
 
     def learn(self, ids: np.ndarray) -> None:
-        seen = ids + 1
+        seen = (ids + 1).astype(self.p1.dtype)
+        like = []
         for table, i, p, c, hits, k, h in (
             (self.table[0], self.i1, self.p1, self.c1, self.hits[0], self.k1, self.h1),
             (self.table[1], self.i2, self.p2, self.c2, self.hits[1], self.k2, self.h2),
         ):
             hit = p == seen
-            hits[k] = h + (hit - h) * 0.03125
+            hits[k] = h + (hit - h) * _RATE
             # a hit raises the confidence, a miss lowers it; at the lowest the id is replaced
-            table[i] = np.where(hit, p * 4 + np.minimum(c + 1, 3), np.where(c > 0, p * 4 + c - 1, seen * 4))
-        like1 = np.where(self.p1 == seen, self.h1, 1 - self.h1)
-        like2 = np.where(self.p2 == seen, self.h2, 1 - self.h2)
-        a, b = (self.w1 * 0.96 + 0.02) * like1, (self.w2 * 0.96 + 0.02) * like2
-        total = a + b
-        self.w1, self.w2 = a / total, b / total
+            kept = p * 4 + np.minimum(np.where(hit, c + 1, c - 1), 3)
+            table[i] = np.where(hit | (c > 0), kept, seen * 4)
+            like.append(np.where(hit, h, _ONE - h))
+        a = (self.w1 * _HOLD + _LIFT) * like[0]
+        self.w1 = a / (a + ((_ONE - self.w1) * _HOLD + _LIFT) * like[1])
         self.prev2, self.prev1 = self.prev1, ids
 
     def keep(self, mask: np.ndarray) -> None:
         """Only the lanes in ``mask`` go on; tables stay where they are."""
-        for name in ("base1", "base2", "base_h", "w1", "w2", "prev1", "prev2"):
+        for name in ("base1", "base2", "base_h", "w1", "prev1", "prev2"):
             setattr(self, name, getattr(self, name)[mask])
 
 
@@ -95,7 +101,7 @@ def _segments(longest: int) -> list[tuple[int, int]]:
     """Spans between refreshes of order 0."""
     cuts = [0]
     while cuts[-1] < longest:
-        cuts.append(min(longest, max(32, cuts[-1] * 2)))
+        cuts.append(min(longest, max(32, cuts[-1] * 3 // 2)))
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
@@ -153,7 +159,7 @@ def encode_blocks(blocks: list[np.ndarray], wide: bool = False) -> list[bytes]:
     ids = np.zeros((len(order), longest), dtype=np.uint32 if wide else np.uint16)
     for row, i in enumerate(order):
         ids[row, : len(blocks[i])] = blocks[i]
-    coder, model = _Out(len(order), 4 * longest + 8 if wide else 3 * longest + 8), _Model(len(order))
+    coder, model = _Out(len(order), 4 * longest + 8 if wide else 3 * longest + 8), _Model(len(order), wide)
     n = len(order)
     for start, end in _segments(longest):
         alive = int((sizes > start).sum())
@@ -234,7 +240,7 @@ def decode_blocks(data: list[bytes], sizes: list[int], wide: bool = False) -> li
     if not len(lengths) or not lengths[0]:
         return out
     longest, n = int(lengths[0]), len(order)
-    coder, model = _In([data[i] for i in order]), _Model(n)
+    coder, model = _In([data[i] for i in order]), _Model(n, wide)
     ids = np.zeros((n, longest), dtype=np.uint32 if wide else np.uint16)
     for start, end in _segments(longest):
         alive = int((lengths > start).sum())
@@ -260,7 +266,7 @@ def decode_blocks(data: list[bytes], sizes: list[int], wide: bool = False) -> li
             width = np.where(hit2, m2, np.where(hit1, m1, 65536 - both)).astype(_U)
             coder.code[:n] -= lo * step
             coder.range[:n] = width * step
-            x = np.where(hit2, p2, p1) - 1
+            x = np.where(hit2, p2, p1).astype(np.int64) - 1
             rest = np.flatnonzero(~(hit1 | hit2))
             if len(rest):
                 if start:

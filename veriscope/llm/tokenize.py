@@ -11,8 +11,9 @@ taken only where they are known to agree with it:
   whose class no version of Unicode changes, or with the string of an added
   token go to the library itself.
 * BPE that drops white space: a text is a sequence of pieces between spaces
-  and line feeds, encoded independently; ids of pieces are remembered in a
-  bounded table.
+  and line feeds, encoded independently: cut into words by the file's pattern,
+  each merged by the file's model.  Ids of pieces and words are remembered in
+  bounded tables.
 
 Any other file: texts are encoded whole by the library.
 """
@@ -25,10 +26,15 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 #: Pieces remembered by a worker before it starts afresh.
 CACHE_PIECES = 400_000
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-žǍ-ǯ]")
+#: Pieces that a file's words and the library must agree on before words are merged alone.
+_CASES = "a Word don't I'LL 'S x1y22 ¼²³ªº ÉÈ-ñ_ß ÿŸ ..,!? (a)b's' <|x|> 'd'\tq a\xa0b '' ''re ſ Ŀ"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -55,6 +61,12 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.fast = None
         self.kind = _kind(spec)
+        if self.kind == "word":
+            self.letters = {b: c for c, b in _byte_letters().items()}
+            self.words, self.known = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), {}
+            texts = _CASES.split(" ")
+            if self._pieces(texts) != self._whole(texts):
+                self.kind = "whole"
         if self.kind == "byte":
             self.fast = self._ranks(spec)
             self.kind = "byte" if self.fast else "whole"
@@ -87,28 +99,50 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, as the model merges its bytes."""
+        letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        return self.pack([t.id for t in self.tok.model.tokenize(letters)])
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without spaces; many are encoded as one text and told apart by their places."""
+        """Ids of pieces without spaces: the file's pattern cuts them into words, different words are merged once."""
+        find, words = self.words.findall, self.known
+        if len(words) > CACHE_PIECES:
+            words.clear()
         out: list[bytes] = []
-        for k in range(0, len(pieces), 1000):
-            part = pieces[k : k + 1000]
-            e = self.tok.encode_batch([" ".join(part)], add_special_tokens=False)[0]
-            ids = np.asarray(e.ids, dtype=self.dtype)
-            at = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(ids))
-            begins = np.cumsum([0] + [len(p) + 1 for p in part[:-1]])
-            cuts = np.append(np.searchsorted(at, begins), len(ids)) * self.width
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for p in pieces:
+            parts = find(p.lower())
+            for w in parts:
+                if w not in words:
+                    words[w] = self._word(w)
+            out.append(words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts]))
         return out
 
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their pieces: Arrow cuts and numbers these, so that only different ones are looked up."""
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        new = [p for p in distinct if p not in self.cache]
+        self.cache.update(zip(new, self._pieces(new), strict=True))
+        found = list(map(self.cache.__getitem__, distinct))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
+        pool = np.frombuffer(b"".join(found), dtype=self.dtype)
+        begin = np.cumsum(size) - size
+        n = size[number]
+        ends = np.cumsum(n)
+        place = np.repeat(begin[number] - (ends - n), n) + np.arange(int(n.sum()))
+        raw = pool[place].tobytes()
+        at = (np.append(0, ends)[cut.offsets.to_numpy()] * self.width).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         out: list[bytes] = [b""] * len(texts)
         slow: list[int] = []
-        parts: list[tuple[int, list[str]]] = []
-        need: set[str] = set()
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+        cut: list[int] = []
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -117,18 +151,10 @@ class Encoder:
             elif self.kind == "byte":
                 out[i] = self.pack(self.fast.encode_to_numpy(t, disallowed_special=()))
             else:
-                pieces = t.replace("\n", " ").split(" ")
-                parts.append((i, pieces))
-                need.update(pieces)
-        need.difference_update(self.cache)
-        if need:
-            new = list(need)
-            self.cache.update(zip(new, self._pieces(new), strict=True))
-        get = self.cache.__getitem__
-        for i, pieces in parts:
-            out[i] = b"".join(map(get, pieces))
-        for i, ids in zip(slow, self._whole([texts[i] for i in slow]) if slow else [], strict=True):
-            out[i] = ids
+                cut.append(i)
+        for some, ids in ((cut, self._by_pieces), (slow, self._whole)):
+            for i, x in zip(some, ids([texts[i] for i in some]) if some else [], strict=True):
+                out[i] = x
         return out
 
 
