@@ -106,8 +106,9 @@ class Model:
         for k in range(0, len(slots), 1 << 18):
             s, o = slots[k : k + (1 << 18)], own[k : k + (1 << 18)]
             first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-            total[o[first]] += np.add.reduceat(self.weights[s], first, axis=0)
-            count[o[first]] += np.diff(np.append(first, len(o)))
+            # a text has a run for each order, and may have several here
+            np.add.at(total, o[first], np.add.reduceat(self.weights[s], first, axis=0))
+            np.add.at(count, o[first], np.diff(np.append(first, len(o))))
         return total * (EVIDENCE / (count + EVIDENCE))[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, list[str | None]]:
