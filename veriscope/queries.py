@@ -239,7 +239,15 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk(table(spark, sf, "documents").select("doc_id", "text"), "recursive", 1000, 150)
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE bare AS (SELECT doc_id, {_strip('text')} AS b FROM documents WHERE text IS NOT NULL),
+    cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(b, '([.!?])[\x09-\x0D ]+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_strip('s')}), lambda s: s <> '') AS p FROM bare WHERE b <> ''),
+    walk AS (SELECT doc_id, 1 AS i, 1 AS c, length(p[1]) AS used, p FROM cut WHERE len(p) > 0
+    UNION ALL SELECT doc_id, i + 1, CASE WHEN used + 1 + length(p[i + 1]) <= 1000 THEN c ELSE c + 1 END, CASE WHEN used + 1 + length(p[i + 1]) <= 1000 THEN used + 1 + length(p[i + 1]) ELSE length(p[i + 1]) END, p FROM walk WHERE i < len(p)),
+    made AS (SELECT doc_id, c, string_agg(p[i], ' ' ORDER BY i) AS t FROM walk GROUP BY 1, 2),
+    tails AS (SELECT *, lag(right(t, 150)) OVER (PARTITION BY doc_id ORDER BY c) AS tail FROM made)
+    SELECT doc_id, (c - 1)::INT AS ordinal, CASE WHEN tail IS NULL OR {_strip('tail')} = '' THEN t ELSE tail || t END AS text FROM tails"""
+)
 def chunk_sentence(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk(table(spark, sf, "documents").select("doc_id", "text"), "sentence", 1000, 150)
 

@@ -1,17 +1,24 @@
-"""Tables with natural keys, replaced by upsert: Parquet snapshots in a folder.
+"""Tables with natural keys, replaced by upsert: Parquet snapshots and what changed since.
 
-Parquet has no MERGE.  An upsert writes the next snapshot beside the present
-one, which a reader of it keeps using; a snapshot counts once its _SUCCESS
-marker is there, so a job that dies half way changes nothing.
+Parquet has no MERGE.  An upsert writes its rows alone beside the last snapshot
+(``d=N``); a reader takes the newest row of each key.  After ``DELTAS`` of them
+the next upsert writes a snapshot (``v=N``), so that the cost of an upsert
+follows its own size.  A folder counts once its _SUCCESS marker is there, so a
+job that dies half way changes nothing, and readers keep using what they read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import INDEXES, KEYS
 
+#: Upserts since the last snapshot after which the next one writes a snapshot.
+DELTAS = 16
+
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row of greatest ``version`` for each key; null keys equal one another."""
@@ -44,27 +51,46 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
+    def _folders(self, table: str) -> list[tuple[int, str]]:
+        """(number, ``v`` or ``d``) of the folders that are complete, in order."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v=")) for p in done if p.getName().startswith("v="))
+        names = [p.getName() for p in (s.getPath() for s in fs.listStatus(path)) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted((int(n[2:]), n[0]) for n in names if n[:2] in ("v=", "d="))
+
+    def _live(self, table: str) -> list[tuple[int, str]]:
+        """The last snapshot and what changed since."""
+        have = self._folders(table)
+        last = max((i for i, (_, kind) in enumerate(have) if kind == "v"), default=0)
+        return have[last:]
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
-        have = self._versions(table)
-        if have:
-            return self.spark.read.parquet(f"{self.root}/{table}/v={have[-1]}")
-        return self.spark.createDataFrame([], schema) if schema else None
+        live = self._live(table)
+        if not live:
+            return self.spark.createDataFrame([], schema) if schema else None
+        frames = [self.spark.read.parquet(f"{self.root}/{table}/{kind}={n}").withColumn("__v", F.lit(n)) for n, kind in live]
+        if len(frames) == 1:
+            return frames[0].drop("__v")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        return latest(rows, KEYS[table], "__v").drop("__v")
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-        keys, have = keys or KEYS[table], self._versions(table)
+        """Replace the rows of equal keys, or add them.  Tables whose keys ``KEYS`` has not are rewritten whole."""
+        live, known = self._live(table), KEYS.get(table)
+        keys = keys or known
         rows = latest(rows.withColumn("__one", F.lit(0)), keys, "__one").drop("__one")
-        if have:
-            rows = merge(self.spark.read.parquet(f"{self.root}/{table}/v={have[-1]}"), rows, keys, only)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={(have or [0])[-1] + 1}")
+        kind, n = "v", (live or [(0, "")])[-1][0] + 1
+        if live:
+            old = self.read(table)
+            if keys == known and len(live) <= DELTAS:
+                kind = "d"
+                if only:
+                    rows = merge(old.join(rows.select(*keys), keys, "left_semi"), rows, keys, only)
+            else:
+                rows = merge(old, rows, keys, only)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{kind}={n}")
         return self.read(table)
 
     def append(self, table: str, rows: DataFrame) -> None:
@@ -85,8 +111,10 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        for v in self._versions(table)[:-keep]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v={v}")
+        """Delete all but the last ``keep`` folders that are older than what is read."""
+        old = [f for f in self._folders(table) if f not in self._live(table)]
+        for n, kind in old[: len(old) - keep + 1] if keep > 1 else old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{kind}={n}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def ensure_index(self, index_id: str, make, force: bool = False, dataset: str = "", index_hash: str = "") -> tuple[DataFrame, bool]:
