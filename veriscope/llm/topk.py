@@ -32,8 +32,8 @@ from .common import column, materialise, runs
 K, SCALE = 20, 64.0
 #: Rows of a block of queries and those compared at once; of a block of candidates; blocks of a strip; of the sample.
 QUERY_BLOCK, QUERY_ROWS, ROW_BLOCK, STRIP_BLOCKS, SAMPLE = 8192, 1024, 4096, 16, 2048
-#: A share of survivors below which they are computed one by one.
-SPARSE = 0.1
+#: A share of survivors below which they are computed one by one; pairs after which a level that drops none is left out.
+SPARSE, TRIED = 0.1, 1 << 20
 _LIMB = 42
 
 
@@ -119,6 +119,11 @@ class Pruned:
     pairs: int = 0
     computed: int = 0
 
+    def useless(self, n: int) -> bool:
+        """Whether a level has dropped next to nothing of many pairs: it is then left out, which changes no result."""
+        seen, left = self.seen.get(n, (0, 0))
+        return seen > TRIED and left > 0.98 * seen
+
     def level(self, n: int, before: int, after: int) -> None:
         have = self.seen.setdefault(n, [0, 0])
         have[0], have[1] = have[0] + before, have[1] + after
@@ -157,17 +162,21 @@ class Search:
         alive = self.ids[part][:, None] != cand_ids[None, :]
         self.stats.pairs += int(alive.sum())
         r, c = np.arange(len(q)), np.arange(len(cand))
-        if np.isfinite(least).any():
-            for n, mine in self.levels.items():
-                r, c = r[alive[np.ix_(r, c)].any(axis=1)], c[alive[np.ix_(r, c)].any(axis=0)]
-                before = int(alive.sum())
-                alive[np.ix_(r, c)] &= mine[part][r] @ summaries[n][c].T >= (least - slack)[r][:, None]
-                self.stats.level(n, before, int(alive.sum()))
         left = int(alive.sum())
+        for n, mine in self.levels.items() if np.isfinite(least).any() else ():
+            if not left or self.stats.useless(n):
+                continue
+            if left == alive.size:
+                alive &= mine[part] @ summaries[n].T >= (least - slack)[:, None]
+            else:
+                r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+                alive[np.ix_(r, c)] &= mine[part][r] @ summaries[n][c].T >= (least - slack)[r][:, None]
+            before, left = left, int(alive.sum())
+            self.stats.level(n, before, left)
         if not left:
             return
         self.stats.computed += left
-        r, c = r[alive[np.ix_(r, c)].any(axis=1)], c[alive[np.ix_(r, c)].any(axis=0)]
+        r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         table = np.full((len(r), len(c)), -np.inf)
         live = alive[np.ix_(r, c)]
         if left < SPARSE * live.size:
