@@ -90,9 +90,9 @@ def test_passes_over_slices(spark, case, monkeypatch):
     assert {(r.doc_id, r.item_id, r.similarity, r.start) for r in d.pairs(df, bench).collect()} == want
 
 
-@pytest.mark.parametrize("few", [1000, 0])
-def test_multi_index_finds_all_within_radius(few, monkeypatch):
-    monkeypatch.setattr(d, "FEW_ITEMS", few)
+@pytest.mark.parametrize("listed", [0, 1, 2, 3])
+def test_multi_index_finds_all_within_radius(listed, monkeypatch):
+    monkeypatch.setattr(d, "ITEM_RADIUS", listed)
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, (50, 12), dtype=np.uint64)
     items = [d.Item(i, 16, np.sort(x), np.ones(12), 12, d.fingerprints(d._bit_rows(x).sum(axis=0, dtype=np.int64)[None])[0]) for i, x in enumerate(h)]
@@ -105,6 +105,33 @@ def test_multi_index_finds_all_within_radius(few, monkeypatch):
     assert set(zip(*map(list, index.candidates(16, prints)), strict=True)) == set(zip(*map(list, np.nonzero(near)), strict=True))
 
 
+@pytest.mark.parametrize("changed", range(1, 12))
+def test_recall_by_similarity(changed):
+    """Every pair of an item of 204 words and a copy with ``changed`` words changed in a row or apart, by brute force."""
+    rng = random.Random(changed)
+    items, docs = [], []
+    for k in range(40):
+        v = [f"k{k}w{i}" for i in range(204)]
+        w, at = list(v), rng.randrange(5, 150)
+        for i in range(changed):
+            w[at + i * rng.choice([1, 2])] = "zz"
+        items.append((k, " ".join(v)))
+        docs.append(" ".join(w))
+    want = brute.find_items(docs, items)
+    found = d.search(d.Index(d.make_items(items)).build(), docs)
+    assert {(k, x["item_id"]): x["similarity"] for k, hits in enumerate(found) for x in hits} == want and want
+
+
+def test_clashing_names(spark):
+    names = ["_text", "__text", "__hits", "hits", "found", "c0", "c1", "item_id"]
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "zz")], "doc_id long, text string")
+    for i, c in enumerate(names):
+        df = df.withColumn(c, df.doc_id + i)
+    bench = spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")
+    left = d.drop_contaminated(df, bench)
+    assert left.columns == df.columns and [[r[c] for c in names] for r in left.collect()] == [[2 + i for i in range(len(names))]]
+
+
 def test_nothing(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")

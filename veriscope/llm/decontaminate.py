@@ -10,30 +10,35 @@ the radius.  Pairs within it are verified by the exact weighted Jaccard
 similarity of their shingles.
 
 A window without a single shingle of an item of its size has similarity 0 and
-gets no fingerprint.  The benchmark is broadcast in slices of a bounded number
-of items; a larger benchmark takes several passes.
+gets no fingerprint.  Items are fingerprinted in tasks and written to the shared
+folder in slices of a bounded size, which tasks load; a benchmark of several
+slices takes as many passes over the documents.  No item reaches the driver.
 """
 
 from __future__ import annotations
 
-import uuid
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, column, restored, text_chunks, unused, with_fields
+from .common import carried, column, open_fs, restored, runs, shared_path, text_chunks, unused, with_fields
 from .words import Words, mix, shingles, split_words
 
 PERCENT = 80
 #: A pair at 80 % differs in 39 of 256 bits, give or take 5.7; the radius lies four deviations above.
 BITS, BLOCK, RADIUS, BLOCK_RADIUS = 256, 16, 63, 3
-#: Items of a slice, and their words; up to ``FEW_ITEMS`` all neighbours of a block are listed by the item.
-SLICE_ITEMS, SLICE_WORDS, FEW_ITEMS = 20_000, 4_000_000, 1000
+#: Bits of ``BLOCK_RADIUS`` that the lists hold for each item; the window looks up the others.
+ITEM_RADIUS = 2
+#: Items of a slice, and their words.
+SLICE_ITEMS, SLICE_WORDS = 4000, 1_000_000
 _U = np.uint64
 _WINDOWS = 8192
 _BUILT: dict[str, Index] = {}
@@ -123,9 +128,8 @@ class Index:
     blocks: dict[int, np.ndarray] = field(default_factory=dict)
 
     def build(self) -> Index:
-        wide = len(self.items) <= FEW_ITEMS
-        item_masks = _masks(BLOCK_RADIUS if wide else 1)
-        self.query_masks = _masks(0 if wide else BLOCK_RADIUS - 1)
+        item_masks = _masks(ITEM_RADIUS)
+        self.query_masks = _masks(BLOCK_RADIUS - ITEM_RADIUS)
         every = [x.shingles for x in self.items]
         self.all = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=_U)
         self.sieve = np.zeros(1 << 20, dtype=bool)
@@ -255,14 +259,39 @@ _HIT = "array<struct<item_id: bigint, similarity: double, start: bigint, n_words
 _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("n_words", pa.int64())]))
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
-    """Items of a bounded number and size at a time; copies of an item once."""
+def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[str, int]:
+    """(folder, number) of slices of items, each a pickled list; copies of an item once."""
     plain = benchmark.select(column(id_col).cast("long").alias("item"), column(text_col).cast("string").alias("text"))
     plain = plain.where("item is not null and text is not null").distinct()
     count, size = plain.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(-(-count // SLICE_ITEMS), -(-(size or 0) // (6 * SLICE_WORDS)))
-    for k in range(n):
-        yield sorted(map(tuple, plain.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()))
+    root = shared_path(benchmark.sparkSession, "benchmark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["slice"]):
+            items = make_items(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([rows.column("slice").slice(0, 1), pa.array([pickle.dumps(items)], pa.binary())], names=["slice", "items"])
+
+    if n:
+        dealt = plain.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition(n, "slice").sortWithinPartitions("slice", "item", "text")
+        dealt.mapInArrow(run, "slice long, items binary").write.partitionBy("slice").parquet(root)
+    return root, n
+
+
+def _index(root: str, k: int) -> Index:
+    """The index of a slice; a worker keeps the last one."""
+    key = f"{root}/slice={k}"
+    if key not in _BUILT:
+        _BUILT.clear()
+        fs, base = open_fs(root)
+        items: list[Item] = []
+        for f in fs.get_file_info(pafs.FileSelector(f"{base}/slice={k}", allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                with fs.open_input_file(f.path) as src:
+                    for blob in pq.read_table(src, columns=["items"]).column("items").to_pylist():
+                        items += pickle.loads(blob)
+        _BUILT[key] = Index(items).build()
+    return _BUILT[key]
 
 
 def find(
@@ -280,18 +309,14 @@ def find(
     text or id; repeated rows are judged each; an empty benchmark gives no
     hits.  A column that bears the name of ``hits_col`` is replaced.
     """
-    spark = docs.sparkSession
     names, cols = carried(docs, hits_col)
     out = docs.select(*cols, column(text_col).cast("string").alias("text"), F.lit(None).cast(_HIT).alias("hits"))
-    for rows in _slices(benchmark, id_col, text_col):
-        shared, key = spark.sparkContext.broadcast(make_items(rows)), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = Index(shared.value).build()
-            for batch in text_chunks(batches, "text"):
-                found = search(_BUILT[key], batch.column("text").to_pylist(), percent)
+    root, n = _slices(benchmark, id_col, text_col)
+    for k in range(n):
+
+        def run(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for batch in text_chunks(batches):
+                found = search(_index(root, k), batch.column("text").to_pylist(), percent)
                 before = batch.column("hits").to_pylist()
                 both = [(a or []) + b for a, b in zip(before, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, _HIT_ARROW)], names=batch.schema.names)
