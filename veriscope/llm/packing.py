@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_chunks
+from .common import column, materialise, text_chunks
 from .tokenize import encoder
 
 WINDOW = 1024
@@ -49,7 +49,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
                 names=["part", "base", "doc_id", "n", "ids"],
             )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, TOKENS)
 
 

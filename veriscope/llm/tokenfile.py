@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .coder import BLOCK_IDS, decode_blocks, encode_blocks
-from .common import open_fs, partitions, shared_path, text_chunks
+from .common import column, open_fs, partitions, shared_path, text_chunks
 from .tokenize import encoder
 
 MAGIC = b"VSTOKS01"
 #: Blocks that are coded in lockstep; bounds a task's memory.
 LANES = 1536
+#: Text that is tokenised at once: the more, the fewer times a word is looked up.
+TEXT_BYTES = 8 << 20
 
 
 def _write_file(root: str, name: str, groups: Iterator[tuple[list, np.ndarray, np.ndarray]], wide: bool) -> tuple[int, int]:
@@ -176,7 +178,7 @@ def write(
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     keyed = plain.withColumn("h", F.xxhash64("text"))
     # texts are dealt before they are encoded: sampling for the ranges would encode them twice
     dealt = keyed.repartitionByRange(partitions(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
@@ -191,7 +193,7 @@ def write(
                 lengths = np.fromiter((len(x) // enc.width for x in ids), dtype=np.int64, count=len(ids))
                 yield batch.column("doc_id").to_pylist(), lengths, np.frombuffer(b"".join(ids), dtype=enc.dtype).astype(np.uint32)
 
-        chunks = text_chunks(batches)
+        chunks = text_chunks(batches, limit=TEXT_BYTES)
         first = next(chunks, None)
         if first is None:
             return
