@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import text as T
+from .operators import compare as P
 from .operators import metrics as M
 from .operators import retrieval as R
 from .operators import runs as U
@@ -386,3 +387,56 @@ def prompt_templates(spark: SparkSession, sf: str) -> DataFrame:
         part = rows.select("question_id", F.lit(name).alias("template"), F.md5(text.cast("binary")).alias("digest"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'YES. ' || text WHEN 1 THEN 'none' WHEN 2 THEN 'Facts first. ANSWER: ' || text || ' ?' ELSE text || '?' END AS x FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, starts_with(upper({Q._strip('x')}), 'YES') AS yes, {Q._strip('x')} <> '' AND NOT starts_with(upper({Q._strip('x')}), 'NONE') AND contains(x, '?') AS asks,
+    md5({Q._strip("CASE WHEN contains(x, 'ANSWER:') THEN substr(x, strpos(x, 'ANSWER:') + 7) ELSE x END")}) AS final FROM t"""
+)
+def reply_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    """What the plan reads from replies: yes, a question back, the final answer."""
+    t, turn = F.col("text"), F.col("turn") % 4
+    x = F.when(turn == 0, F.concat(F.lit("YES. "), t)).when(turn == 1, "none").when(turn == 2, F.concat(F.lit("Facts first. ANSWER: "), t, F.lit(" ?"))).otherwise(F.concat(t, F.lit("?")))
+    rows = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", x.alias("x"))
+    return rows.select("conv_id", "turn", T.says_yes(F.col("x")).alias("yes"), T.wants_clarification(F.col("x")).alias("asks"), F.md5(T.final_answer(F.col("x")).cast("binary")).alias("final"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events WHERE event_id % 50 < 5""")
+def json_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON object within a reply, by its outermost braces; null where there is none."""
+    reply = F.when(F.col("event_id") % 3 == 0, "no object").otherwise(F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" as asked")))
+    rows = table(spark, sf, "events").where("event_id % 50 < 5")
+    return rows.select("event_id", T.json_block(reply, "k bigint")["k"].alias("k"))
+
+
+@query(
+    f"""WITH v AS (SELECT conv_id % 7 AS run_id, CASE WHEN turn % 2 = 0 THEN 'gold' ELSE 'answer' END AS side, {Q._n("conv_id || '#' || turn")} % 4 AS h FROM conversations),
+    s AS (SELECT run_id, count(*) FILTER (side = 'answer' AND h <= run_id % 3) / count(*) FILTER (side = 'answer') AS p, count(*) FILTER (side = 'gold' AND h = 0) / count(*) FILTER (side = 'gold') AS r FROM v GROUP BY 1)
+    SELECT run_id, CASE WHEN p >= 0.7 AND r < 0.5 THEN 'retrieval' WHEN p < 0.5 THEN 'generator' ELSE 'none' END AS blame FROM s"""
+)
+def claims_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    h = Q.number(F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string"))) % 4
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") % 7).alias("run_id"), (F.col("turn") % 2 == 0).alias("gold"), h.alias("h"))
+    per = rows.groupBy("run_id").agg(
+        (F.count_if(~F.col("gold") & (F.col("h") <= F.col("run_id") % 3)) / F.count_if(~F.col("gold"))).alias("p"), (F.count_if(F.col("gold") & (F.col("h") == 0)) / F.count_if("gold")).alias("r")
+    )
+    return per.select("run_id", M.attribution(F.col("p"), F.col("r")).alias("blame"))
+
+
+@query("SELECT p_size AS size, ceil(2 * 0.4 * 0.6 * power(2.8 / (p_size / 100.0), 2.0))::BIGINT AS n FROM (SELECT DISTINCT p_size FROM part)")
+def required_n(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = table(spark, sf, "part").select(F.col("p_size").alias("size")).distinct()
+    return sizes.select("size", Q.X.required_n(F.col("size") / 100.0, 0.4).cast("long").alias("n"))
+
+
+@query(
+    f"WITH {Q.SCORES}, newest AS (SELECT DISTINCT event_type AS run_id FROM events WHERE event_type <> 'view' ORDER BY run_id DESC LIMIT 3), newest_scores AS (SELECT * FROM scores WHERE metric = 'high' AND run_id IN (SELECT run_id FROM newest)), "
+    f"{Q._series('newest_scores', 'run_id')}, plain AS (SELECT run_id, avg(value) AS mean, count(value) AS n FROM newest_scores GROUP BY 1) "
+    "SELECT run_id, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n, row_number() OVER (ORDER BY mean DESC, run_id)::INT AS place FROM plain JOIN bounds USING (run_id)"
+)
+def leaderboard_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """The board of the newest completed runs alone."""
+    made = table(spark, sf, "events").select(F.col("event_type").alias("run_id")).distinct().withColumn("status", F.when(F.col("run_id") == "view", "running").otherwise("completed"))
+    some = Q.scores(spark, sf).join(U.newest(made, 3, "completed").select("run_id"), "run_id", "left_semi")
+    return rounded(P.leaderboard(some, "high", Q.REPLICATES))

@@ -50,6 +50,15 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order they are read: places in a partition, and sums over partitions before it."""
+    placed = rows.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__c"))  # one row a partition
+    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
+    place = F.col("__m").bitwiseAND((1 << 33) - 1) + F.col("__b")
+    return placed.join(F.broadcast(before), "__p").withColumn(name, place).drop("__m", "__p", "__b")
+
+
 @register("multihop_rag")
 def multihop_rag(spark: SparkSession, corpus: str, queries: str) -> Dataset:
     """Articles by URL and questions whose evidence names URLs; evidence without an article is counted, not kept."""
@@ -60,10 +69,7 @@ def multihop_from(corpus: DataFrame, queries: DataFrame, order: str | None = Non
     """``order`` is the column of the queries that numbers them from 0; by default their place in the file."""
     meta = F.map_filter(F.create_map(*[x for c in ("source", "author", "category", "published_at") for x in (F.lit(c), F.col(c))]), lambda _, v: v.isNotNull())
     docs = corpus.where("url is not null").select(F.col("url").alias("external_id"), "title", "body", meta.alias("metadata"))
-    number = F.col(order) if order else F.monotonically_increasing_id()
-    rows = queries.withColumn("__n", number)
-    if not order:  # dense numbers in file order; a set of questions is small
-        rows = rows.withColumn("__n", F.row_number().over(Window.orderBy("__n")) - 1)
+    rows = queries.withColumn("__n", F.col(order)) if order else numbered(queries, "__n")
     rows = rows.withColumn("external_id", F.format_string("mhr-%05d", F.col("__n").cast("long")))
     flat = rows.select("external_id", F.posexplode("evidence_list").alias("pos", "e")).select("external_id", "pos", F.col("e.url").alias("url"), F.col("e.fact").alias("fact"))
     known = flat.join(docs.select(F.col("external_id").alias("url"), F.lit(True).alias("known")).distinct(), "url", "left")
@@ -79,8 +85,7 @@ def multihop_from(corpus: DataFrame, queries: DataFrame, order: str | None = Non
 @register("hotpotqa")
 def hotpotqa(spark: SparkSession, path: str) -> Dataset:
     """Paragraphs by title (the first one met counts) and questions with the sentences that support them."""
-    rows = spark.read.json(path, multiLine=True)
-    return hotpot_from(rows)
+    return hotpot_from(read_json(spark, path, HOTPOT))
 
 
 def hotpot_from(rows: DataFrame) -> Dataset:
