@@ -65,6 +65,9 @@ CASES = [
     ("<a hidden>1<a>2</a>3", "23"),
     ("<ol start='5x'><li value=' 7'>a<li>b</ol>", "7. a\n8. b"),
     ("<ol start=99999999999><li>a</ol>", "2147483647. a"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c<hr></div>d", "b\nd"),
+    ("<style>.v{visibility:hidden}.s{visibility:visible}</style><ul class=v><li>a<li class=s>b</ul><table class=v><tr><td>c<td class=s>d<tr class=s><td>e</table>f", "- b\n\n   d\ne\n\nf"),
+    ("<p style='display:none'>a<b style='display:block;visibility:visible'>b</b></p>c", "c"),
     ("x</>y</ z>w<!d>v<?p?>u", "xywvu"),
 ]
 

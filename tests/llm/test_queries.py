@@ -4,6 +4,7 @@ import json
 import math
 import zlib
 from hashlib import sha256
+from pathlib import Path
 
 import brute
 import corpus_pipeline
@@ -260,12 +261,21 @@ def test_pipeline(spark, folder, rows):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder[0]).select("doc_id").distinct().collect()) == sorted(ids)
 
 
+def scratch(spark):
+    from veriscope.llm.common import checkpoint_root
+
+    return {p.name for p in Path(checkpoint_root(spark).removeprefix("file://"), "veriscope").glob("*")}
+
+
 def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, data in (("none", []), ("odd", [(None, "plain words of one language here", "aa", None, None), (1, None, None, "s", 0), (1, "", "aa", "s", 0), (2, "zq zq zq zq", "bb", "s", 11), (2, "zq zq zq zq", "bb", "s", 11)])):
         at = f"file://{tmp_path}/{name}"
         spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
-        got = corpus_pipeline.run(spark, at).collect()
+        before = scratch(spark)
+        made = corpus_pipeline.run(spark, at)
+        assert len(scratch(spark) - before) <= 2  # what the last stage reads, and its own table of ids
+        got = made.collect()
         assert bool(got) == bool(data)
         assert all(json.dumps(r.asDict()) for r in got) and all(r.doc_id in (None, 2) for r in got)

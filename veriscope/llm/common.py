@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,9 +36,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{checkpoint_root(spark)}/veriscope/{tag}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/veriscope/{tag}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is written to fresh paths of the shared folder within; results must be written elsewhere by then."""
+    token = _MADE.set(made := [])
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

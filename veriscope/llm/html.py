@@ -422,17 +422,17 @@ def hidden_by(sheets: str) -> dict[str, dict[str, tuple[bool, int, int, bool]]]:
     return out if any(said[3] for have in out.values() for said in have.values()) else {}
 
 
-def visible(node: Node, hidden: dict[str, dict[str, tuple[bool, int, int, bool]]] | None = None) -> bool:
+def fate(node: Node, hidden: dict[str, dict[str, tuple[bool, int, int, bool]]] | None = None) -> tuple[bool, bool | None]:
+    """(whether an element is laid out, whether its own text shows; null: as that around it)."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
+        return False, None
     said = [_declared(a["style"], 3, 0)] if "style" in a else []
     if hidden:
         said += [hidden[s] for s in (node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())) if s in hidden]
-    for name in ("display", "visibility") if said else ():
-        if max((x[name] for x in said if name in x), default=(False, 0, 0, False))[3]:
-            return False
-    return not (node.tag == "dialog" and "open" not in a)
+    hides = {name: max(x[name] for x in said if name in x)[3] for name in ("display", "visibility") if any(name in x for x in said)}
+    laid = not hides.get("display") and not (node.tag == "dialog" and "open" not in a)
+    return laid, not hides["visibility"] if "visibility" in hides else None
 
 
 def width(line: str) -> int:
@@ -520,7 +520,19 @@ def _number(text: str | None, default: int, low: int, high: int) -> int:
 
 class _Painter:
     def __init__(self, hidden: dict[str, dict[str, tuple[bool, int, int, bool]]]) -> None:
-        self.hidden = hidden
+        self.hidden, self.show = hidden, True
+
+    def enter(self, node: Node) -> bool | None:
+        """Null if an element is not laid out; else whether text showed so far, to be put back behind the element."""
+        laid, shows = fate(node, self.hidden)
+        before = self.show
+        if laid and shows is not None:
+            self.show = shows
+        return before if laid else None
+
+    def text(self, data: str, flow: _Flow, pre: bool) -> None:
+        if self.show:
+            flow.text(data, pre)
 
     def lines(self, node: Node, pre: bool = False) -> list[str]:
         flow = _Flow()
@@ -530,9 +542,10 @@ class _Painter:
     def children(self, node: Node, flow: _Flow, pre: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
-                flow.text(child, pre)
-            elif visible(child, self.hidden):
+                self.text(child, flow, pre)
+            elif (before := self.enter(child)) is not None:
                 self.element(child, flow, pre)
+                self.show = before
 
     def element(self, node: Node, flow: _Flow, pre: bool) -> None:
         tag = node.tag
@@ -540,7 +553,7 @@ class _Painter:
             flow.line()
         elif tag == "hr":
             flow.block(1)
-            flow.box(["---"])
+            flow.box(["---"] if self.show else [])
             flow.gap = 1
         elif tag == "table":
             self.framed(self.table(node), flow)
@@ -559,12 +572,12 @@ class _Painter:
             self.children(node, flow, inner)
             flow.block(gap)
         elif tag == "q":
-            flow.text('"', pre)
+            self.text('"', flow, pre)
             self.children(node, flow, pre)
-            flow.text('"', pre)
+            self.text('"', flow, pre)
         elif tag == "input":
             if node.attrs.get("type", "text").lower() in ("submit", "reset", "button", "text") and node.attrs.get("value"):
-                flow.text(node.attrs["value"], pre)
+                self.text(node.attrs["value"], flow, pre)
         else:
             self.children(node, flow, pre or tag in ("textarea", "xmp"))
 
@@ -589,34 +602,38 @@ class _Painter:
 
         for child in node.children:
             if isinstance(child, str):
-                flow.text(child, pre)
-            elif child.tag == "li":
+                self.text(child, flow, pre)
+                continue
+            if child.tag == "li":
                 loose()
                 n = _number(child.attrs.get("value"), n, *INT32)
                 mark = f"{n}. " if ordered else "- "
                 n += step
-                if visible(child, self.hidden):
-                    lines = self.lines(child, pre)
-                    out += [(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else x for i, x in enumerate(lines)]
-            elif visible(child, self.hidden):
+            if (before := self.enter(child)) is None:
+                continue
+            if child.tag == "li":
+                lines = self.lines(child, pre)
+                out += [(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else x for i, x in enumerate(lines)]
+            else:
                 self.element(child, flow, pre)
+            self.show = before
         loose()
         return out
 
     def table(self, node: Node) -> list[str]:
         """Captions and other text first, then the rows, their columns aligned."""
-        before, rows, foot = _Flow(), [], []
-        todo = [(c, node.tag) for c in reversed(node.children)]
+        before, rows, foot, outside = _Flow(), [], [], self.show
+        todo = [(c, node.tag, outside) for c in reversed(node.children)]
         while todo:
-            child, inside = todo.pop()
+            child, inside, self.show = todo.pop()
             if isinstance(child, str):
-                before.text(child, False)
-            elif not visible(child, self.hidden):
+                self.text(child, before, False)
+            elif self.enter(child) is None:
                 continue
             elif child.tag == "tr":
-                (foot if inside == "tfoot" else rows).append(child)
+                (foot if inside == "tfoot" else rows).append((child, self.show))
             elif child.tag in ("tbody", "thead", "tfoot"):
-                todo += [(c, child.tag) for c in reversed(child.children)]
+                todo += [(c, child.tag, self.show) for c in reversed(child.children)]
             elif child.tag not in ("col", "colgroup"):
                 self.element(child, before, False)
                 before.block(1)
@@ -624,13 +641,14 @@ class _Painter:
         wide: dict[int, int] = {}
         spans: list[tuple[int, int, int, int]] = []
         taken: dict[int, int] = {}  # of a column, the first row that no cell above reaches
-        for r, row in enumerate(rows + foot):
+        for r, (row, shows) in enumerate(rows + foot):
             cells: dict[int, list[str]] = {}
             loose, col = _Flow(), 0
             for child in row.children:
+                self.show = shows
                 if isinstance(child, str):
-                    loose.text(child, False)
-                elif not visible(child, self.hidden):
+                    self.text(child, loose, False)
+                elif self.enter(child) is None:
                     continue
                 elif child.tag not in ("td", "th"):
                     self.element(child, loose, False)
@@ -650,6 +668,7 @@ class _Painter:
                     col += across
             before.box(loose.done())
             grid.append(cells)
+        self.show = outside
         for across, col, need, _ in sorted(spans):
             have = sum(wide.get(col + j, 0) for j in range(across)) + 2 * (across - 1)
             if need > have:
