@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Rows: a null or blank text, and one in no language that the labelled rows
+teach, go in the first stage; repeated rows stay or go together there and in
+the second; an empty table gives no rows.  Stages read and return the columns of
+``documents`` alone: any others are left out.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm import decontaminate, langid, near_dup, packing, substring
-from veriscope.llm.common import shared_path
+from veriscope.llm.common import cleared, delete, shared_path
 from veriscope.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,15 +57,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL cannot express these stages; tests/llm holds their operators against brute force.
+#: SQL cannot express these stages; tests/llm/test_queries.py holds each of them, and run(), against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each result but the last is written and reread.
+
+    What a stage keeps for itself goes when its result is written, and that
+    result when the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
