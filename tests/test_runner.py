@@ -118,6 +118,25 @@ def test_judge_mode_and_doubts(store, run_id):
     assert {r.evaluator for r in made} == {"native.erag@other"} and any(r.metric == "mean_utility@rank1" for r in made)
 
 
+def test_utilities_and_claims(store, run_id):
+    run = runner.load_run(store, run_id, store.read("questions").drop("dataset", "split"))
+    got = runner.erag_utilities(run, models.Called(lambda role, prompt: ("It eats krill" if "krill" in prompt else "who knows", 1, 1), tries=1)).collect()
+    assert sorted(r.utility for r in got) == [0.0, 1.0] and {r["rank"] for r in got} == {1}
+    assert runner.erag_utilities(run, models.Called(lambda role, prompt: 1 / 0, tries=1, wait=0.0)).agg(F.sum("utility")).first()[0] == 0.0
+
+    def call(role, prompt):
+        if role == "extractor":
+            return ("- the animal eats berries\n- the animal likes music" if "It eats berries" in prompt else "- the fact is krill" if "krill" in prompt else "NONE", 1, 1)
+        assert role == "verifier"
+        claim, passages = prompt.split("Passages:")
+        word = claim.split("Claim: ")[1].split()[-1]
+        return ("SUPPORTED" if word in passages else "NEUTRAL.", 1, 1)
+
+    run.completions["verdicts"] = runner.claim_verdicts(run, models.Called(call, tries=1, wait=0.0))
+    rows = {(r.metric, r.question_id is None): r.value for r in evaluators.evaluate(run, ["native.claims"]).orderBy("value").collect()}
+    assert rows["mean_claim_precision", True] == 0.75 and rows["mean_claim_recall", True] == 1.0
+
+
 def test_completions_are_asked_for_once(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     calls = spark.sparkContext.accumulator(0)

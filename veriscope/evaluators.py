@@ -114,7 +114,8 @@ def _erag(run: Run) -> DataFrame:
 
 @register("native.claims", ("verdicts",), judged=True)
 def _claims(run: Run) -> DataFrame:
-    return M.claim_metrics(run.completions["verdicts"])
+    named = {m: f"mean_{m}" for m in ("claim_precision", "context_utilization", "claim_recall")}
+    return _with_means(M.claim_metrics(run.completions["verdicts"]), named)
 
 
 optional("ragas", "ragas")

@@ -262,6 +262,16 @@ def contextual_header(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "ordinal", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(
+    f"""WITH {CHUNKS}, h AS (SELECT doc_id, concat_ws('\n', 'Source: ' || nullif(source, ''), 'Category: ' || nullif(lang, '')) AS head FROM documents)
+    SELECT document_id AS doc_id, ordinal, md5(CASE WHEN head = '' THEN text ELSE head || '\n\n' || text END) AS digest FROM chunks JOIN h ON doc_id = document_id"""
+)
+def contextual_header_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    made = C.chunk(docs, "fixed", 1000, 150, fields={"source": F.col("source"), "category": F.col("lang")})
+    return made.select("doc_id", "ordinal", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # Text scalars and answers
 
 

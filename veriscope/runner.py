@@ -12,17 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import evaluators
-from .functions.text import says_yes
+from .functions.text import claims, says_yes, verdict
 from .operators import chunking, runs
-from .operators.metrics import recall_curve
+from .operators.metrics import recall_curve, utility
 from .plans import pipeline
 from .plans.config import Config, pool_config
 from .plans.models import RECORD, Embedder, Provider, Recorded, Scorer, User, usage
 from .schemas import CONFIGS, PREDICTIONS, RUNS, SCORES
 from .sources.store import Store
 
-#: Texts of the judge's prompt are cut to these widths.
-FACT_CHARS, PASSAGE_CHARS = 800, 1500
+#: Texts of prompts are cut to these widths.
+FACT_CHARS, PASSAGE_CHARS, ERAG_CHARS = 800, 1500, 4000
+ANSWER_CHARS, CLAIM_CHARS, CONTEXT_CHARS = 3000, 500, 1200
+#: Questions that these costly evaluators take, the first by id.
+ERAG_SAMPLES, CLAIM_SAMPLES = 40, 50
+ERAG = "Answer the question from the passage alone, in a few words.\n\nPassage:\n{passage}\n\nQuestion: {question}\n\nAnswer:"
+EXTRACT = "List the facts that the text states, one a line behind a dash, each clear without the others. If it states none, reply NONE.\n\nText:\n{text}\n\nFacts:"
+VERIFY = "Do the passages support the claim? Reply with one word: SUPPORTED, CONTRADICTED or NEUTRAL.\n\nClaim: {claim}\n\nPassages:\n{passages}\n\nReply:"
 NUGGET = "Does the passage state the fact? Reply YES or NO.\n\nFact: {fact}\n\nPassage:\n{passage}\n\nReply:"
 
 
@@ -179,6 +185,37 @@ def judge_nuggets(run: evaluators.Run, provider: Provider) -> DataFrame:
     return made.select("question_id", "fact_id", (says_yes(F.col("reply")) & (F.col("passage") != "")).alias("supported"))
 
 
+def _first(rows: DataFrame, samples: int) -> DataFrame:
+    return rows.orderBy("question_id").limit(samples)
+
+
+def erag_utilities(run: evaluators.Run, provider: Provider, samples: int = ERAG_SAMPLES) -> DataFrame:
+    """(question_id, rank, utility): how good an answer each passage alone gives; a failed call has none."""
+    asked = _first(run.predictions.where("answerable").join(run.passages.select("question_id").distinct(), "question_id", "left_semi"), samples)
+    rows = asked.select("question_id", "question", "gold").join(run.passages, "question_id").withColumn("passage", F.substring("text", 1, ERAG_CHARS))
+    made = pipeline.ask(provider, rows, "erag", ["question_id", "rank"], pipeline.filled(ERAG, passage=F.col("passage"), question=F.col("question")))
+    return made.select("question_id", "rank", utility(F.col("reply"), F.col("gold")).alias("utility"))
+
+
+def claim_verdicts(run: evaluators.Run, provider: Provider, samples: int = CLAIM_SAMPLES) -> DataFrame:
+    """(question_id, side, verdict): claims of answers against their passages, claims of gold answers against the answer.
+
+    Answers that are empty, failed or abstained take no part.
+    """
+    usable = run.predictions.where("trim(coalesce(answer, '')) <> '' and error is null and not coalesce(abstained, false)")
+    rows = _first(usable, samples).select("question_id", F.substring("answer", 1, ANSWER_CHARS).alias("said"), F.substring(F.coalesce("gold", F.lit("")), 1, ANSWER_CHARS).alias("wanted"))
+    sides = F.array(F.struct(F.lit("answer").alias("side"), F.col("said").alias("text")), F.struct(F.lit("gold").alias("side"), F.col("wanted").alias("text")))
+    texts = rows.select("question_id", "said", F.explode(sides).alias("x")).select("question_id", "said", "x.side", "x.text")
+    found = pipeline.ask(provider, texts, "extractor", ["question_id", "side"], pipeline.filled(EXTRACT, text=F.col("text")))
+    claims_ = found.select("question_id", "said", "side", F.posexplode(claims(F.col("reply"))).alias("place", "claim"))
+    cut = F.struct("rank", F.substring("text", 1, CONTEXT_CHARS).alias("t"))
+    contexts = run.passages.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cut)), lambda x: x["t"]), "\n\n").alias("context"))
+    against = F.when(F.col("side") == "gold", F.col("said")).otherwise(F.coalesce(F.nullif("context", F.lit("")), F.lit("(no passage)")))
+    rows = claims_.join(contexts, "question_id", "left").withColumn("passages", against)
+    made = pipeline.ask(provider, rows, "verifier", ["question_id", "side", "place"], pipeline.filled(VERIFY, claim=F.substring("claim", 1, CLAIM_CHARS), passages=F.col("passages")))
+    return made.select("question_id", "side", verdict(F.col("reply")).alias("verdict"))
+
+
 def curve(store: Store, config: Config, dataset: str, documents: DataFrame, questions: DataFrame, ks: list[int], *, embedder: Embedder | None = None, provider: Provider | None = None, split: str = "eval", limit: int | None = None) -> DataFrame:
     """Per-question recall curve of a configuration: one deep ranking, every prefix of it."""
     deep, _ = pool_config(config, max(ks))
