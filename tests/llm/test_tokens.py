@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from veriscope.llm import coder, packing, tokenfile
 from veriscope.llm.common import open_fs
@@ -74,26 +75,46 @@ def test_packing_nulls_and_repeats(spark):
     assert rows == [(0, 0, 1), (0, 1, 1), (0, 2, 1)]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=300), max_size=8))
-def test_coder_round_trip(blocks):
-    arrays = [np.array(b, dtype=np.uint32) for b in blocks]
-    for wide in (False, True):
-        data = coder.encode_blocks(arrays, wide)
-        back = coder.decode_blocks(data, [len(b) for b in blocks], wide)
-        assert [b.tolist() for b in back] == blocks
+def there_and_back(spark, blocks, width):
+    """(coded bytes, ids) of blocks."""
+    kind = "<u2" if width == 2 else "<u4"
+    rows = [(k, bytearray(np.asarray(b, dtype=kind).tobytes()), len(b)) for k, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "k int, ids binary, n int").withColumn("data", coder.encoded(spark, F.col("ids"), width))
+    got = df.select("k", "data", coder.decoded(spark, F.col("data"), F.col("n"), F.lit(width)).alias("back")).orderBy("k").collect()
+    return [bytes(r.data) for r in got], [np.frombuffer(bytes(r.back), dtype=kind) for r in got]
 
 
-def test_coder_beats_plain_ids_and_carries():
-    rng = np.random.default_rng(3)
+@pytest.mark.parametrize("width", [2, 4])
+def test_coder_round_trip(spark, width):
+    rng = np.random.default_rng(width)
+    most = 1 << (8 * width)
+    blocks = [rng.integers(0, high, n) for high in (1, 2, 4, 300, 50_000, most) for n in (0, 1, 2, 5, 300, 4096)]
+    blocks += [np.full(4096, most - 1), np.arange(4096), np.tile([1, 2, 3, 2], 1024), np.tile(np.arange(700), 6)[:4096]]
     words = rng.integers(0, 50_000, (40, 3))
-    ids = np.concatenate([words[k] for k in rng.integers(0, 40, 1300)])[:4096]
-    assert len(coder.encode_blocks([ids])[0]) < len(ids)
-    many = [rng.integers(0, 49_408, 500) for _ in range(200)] + [np.full(4096, 65_535)] * 3
-    back = coder.decode_blocks(coder.encode_blocks(many), [len(b) for b in many])
-    assert all((a == b).all() for a, b in zip(many, back, strict=True))
-    wide = [rng.integers(0, 1 << 32, 700), np.array([0xFFFFFFFF] * 9)]
-    assert [b.tolist() for b in coder.decode_blocks(coder.encode_blocks(wide, True), [700, 9], True)] == [b.tolist() for b in wide]
+    blocks += [np.concatenate([words[k] for k in rng.integers(0, 40, 1300)])[:4096] for _ in range(30)]
+    data, back = there_and_back(spark, blocks, width)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
+    assert len(data[-1]) < 4096  # two bytes an id and more, plain
+    assert all(len(d) <= 8 + len(b) * (width + 1) for d, b in zip(data, blocks, strict=True))
+
+
+def test_coder_on_any_short_block(spark):
+    rng = np.random.default_rng(0)
+    blocks = [rng.choice([0, 1, 2, 65_535, 40_000], int(rng.integers(0, 40)), p=[0.5, 0.2, 0.1, 0.1, 0.1]) for _ in range(3000)]
+    _, back = there_and_back(spark, blocks, 2)
+    assert all(a.tolist() == b.tolist() for a, b in zip(blocks, back, strict=True))
+
+
+def test_damaged_bytes_decode_to_something(spark):
+    rng = np.random.default_rng(1)
+    data, _ = there_and_back(spark, [rng.integers(0, 500, 400) for _ in range(40)], 2)
+    rows = []
+    for d in data:
+        for cut in (d[: len(d) // 2], b"", bytes(rng.integers(0, 256, len(d), dtype=np.uint8)), d[:3] + b"\xff" * 40 + d[43:]):
+            rows.append((bytearray(cut),))
+    df = spark.createDataFrame(rows, "data binary")
+    got = df.select(F.octet_length(coder.decoded(spark, F.col("data"), F.lit(400), F.lit(2))).alias("n")).collect()
+    assert {r.n for r in got} <= {0, 800}
 
 
 def test_token_files(documents, corpus):
@@ -112,14 +133,28 @@ def test_token_files(documents, corpus):
         raw = bytearray(f.read())
         spans = tokenfile.directory(f)["blocks"]
     raw[spans[0][0] + 1] ^= 4
-    with fs.open_output_stream(f"{base}/bad.vstoks", compression=None) as f:
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+        f.write(bytes(raw))
+    with pytest.raises(Exception, match="damaged block"):
+        files.read().collect()
+    raw[-30] ^= 4
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
         f.write(bytes(raw))
-    with fs.open_input_file(f"{base}/bad.vstoks") as f, pytest.raises(ValueError, match="damaged"):
-        list(tokenfile.read_documents(f))
+    with pytest.raises(Exception, match="damaged directory"):
+        files.read().collect()
+
+
+def test_spans_are_read_by_block(documents, corpus):
+    path = public_tokenizers.path(FILES[1])
+    every = [x for i in sorted(i for i, _ in corpus) for x in [*plain(path, [dict(corpus)[i]])[0], 1]]
+    files = tokenfile.write(documents, path)
+    for first, last in ((0, 1), (5, 9000), (len(every) - 3, len(every)), (4096, 8192), (len(every), len(every) + 5)):
+        got = sorted(files.span(first, last).collect())
+        assert [x for r in got for x in r.ids] == every[first:last]
+        assert all(every[r.start : r.start + len(r.ids)] == r.ids for r in got)
 
 
-def test_token_files_nulls_repeats_and_nothing(spark, nothing, monkeypatch):
-    monkeypatch.setattr(tokenfile, "LANES", 2)
+def test_token_files_nulls_repeats_and_nothing(spark, nothing):
     path = public_tokenizers.path(FILES[1])
     df = spark.createDataFrame([(2, "b"), (None, "a"), (2, "b"), (1, None), (3, "")], "doc_id long, text string").selectExpr("*", "1 as h", "2 as part")
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.write(df, path).read().collect())

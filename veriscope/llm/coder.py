@@ -1,300 +1,346 @@
-"""An adaptive context-mixing range coder for token ids, many blocks in lockstep.
+"""An adaptive context-mixing range coder for blocks of token ids, as a function that runs in the JVM.
 
-A block is coded from a fresh model, so blocks are independent; that lets one
-NumPy step code the same place of hundreds of blocks ("lanes") at once.
+A block is coded from a fresh model, so blocks are independent.
 
 Model of a block.  Order 2 and order 1 predict the id that last followed the
 last two ids, or the last one, with a small confidence; how often a prediction
 of some confidence comes true is learned.  Order 0 predicts every id that the
-block has had by its frequency, refreshed each time that the block has grown by
-half, with the share of ids met once (Good-Turing) for ids yet unmet.  The
-three are mixed: the weights of orders 1 and 2 follow the likelihood that each
-gave to the ids so far, an id that both predict has the sum of their shares,
-and order 0 shares what they leave.
-
-Coder.  A range coder on 48 bits that emits 16-bit words; carries run back
-into words already emitted.  All arithmetic is on integers, or on 32-bit floats
-by +, -, * and / alone, each rounded as IEEE 754 has it, so that every machine
-decodes alike.
+block has had by how often it came where the others did not predict it, with the
+number of ids counted once (Good-Turing) for ids yet unmet.  The three are mixed: an id's share is the
+sum of what each order gives it, and the weights of orders 1 and 2 follow the
+likelihood that each gave to the ids so far.
+
+Coder.  A range coder on 40 bits that emits bytes; carries run back into bytes
+already emitted.  All arithmetic is on integers, or on doubles by +, -, * and /
+alone, so that every machine decodes alike.
+
+Coding is one short step an id after the other, which neither built-in functions
+nor NumPy can do at a bearable price.  So the few lines of Java below are
+compiled at run time by the compiler that Spark brings along for its own
+generated code, and sent to executors as a jar in the shared folder; Spark calls
+them as static methods, which take and give text: bytes pass in base 64.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import io
+import zipfile
+from hashlib import sha256
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from .common import checkpoint_root, open_fs
 
 BLOCK_IDS = 4096
-_U = np.uint64
-_TOP, _MIN = _U(1) << _U(48), _U(1) << _U(32)
-_LOW = _U((1 << 32) - 1)
-#: Slots of a lane's order-1 and order-2 tables, confidences.
-_SLOTS1, _SLOTS2, _CONF = 2048, 4096, 4
-#: What orders 1 and 2 can have of 65536; the rate that hits are learned at; how weights are held and lifted.  32-bit floats throughout.
-_ROOM, _RATE, _HOLD, _LIFT, _ONE = (np.float32(x) for x in (65536 - 2048, 0.03125, 0.96, 0.02, 1))
-
-
-class _Model:
-    """Orders 1 and 2 of all lanes, and the mixing weights."""
-
-    def __init__(self, lanes: int, wide: bool) -> None:
-        at = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base_h = at * _SLOTS1, at * _SLOTS2, at * _CONF
-        kind = np.int64 if wide else np.int32
-        self.table = np.zeros(lanes * _SLOTS1, dtype=kind), np.zeros(lanes * _SLOTS2, dtype=kind)
-        start = np.array([0.02, 0.3, 0.6, 0.8], dtype=np.float32)
-        self.hits = np.tile(start, lanes), np.tile(start, lanes)
-        self.w1 = np.full(lanes, 0.5, dtype=np.float32)
-        self.prev1, self.prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """(id by order 1, its width, id by order 2, its width); widths are parts of 65536."""
-        near = self.prev1 * 0x9E3779B1
-        self.i1 = self.base1 + ((near >> 15) & (_SLOTS1 - 1))
-        self.i2 = self.base2 + (((self.prev2 * 0x85EBCA6B + near) >> 13) & (_SLOTS2 - 1))
-        e1, e2 = self.table[0].take(self.i1), self.table[1].take(self.i2)
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        self.k1, self.k2 = self.base_h + self.c1, self.base_h + self.c2
-        self.h1, self.h2 = self.hits[0].take(self.k1), self.hits[1].take(self.k2)
-        self.p1, self.p2 = e1 >> 2, e2 >> 2  # an id plus one; 0: none yet
-        m1 = (self.w1 * self.h1 * _ROOM).astype(np.int64) + 1
-        m2 = ((_ONE - self.w1) * self.h2 * _ROOM).astype(np.int64) + 1
-        both = m1 * (self.p1 == self.p2)  # one id that both predict has the sum of both shares
-        return self.p1, m1 - both, self.p2, m2 + both
-
-    def learn(self, ids: np.ndarray) -> None:
-        seen = (ids + 1).astype(self.p1.dtype)
-        like = []
-        for table, i, p, c, hits, k, h in (
-            (self.table[0], self.i1, self.p1, self.c1, self.hits[0], self.k1, self.h1),
-            (self.table[1], self.i2, self.p2, self.c2, self.hits[1], self.k2, self.h2),
-        ):
-            hit = p == seen
-            hits[k] = h + (hit - h) * _RATE
-            # a hit raises the confidence, a miss lowers it; at the lowest the id is replaced
-            kept = p * 4 + np.minimum(np.where(hit, c + 1, c - 1), 3)
-            table[i] = np.where(hit | (c > 0), kept, seen * 4)
-            like.append(np.where(hit, h, _ONE - h))
-        a = (self.w1 * _HOLD + _LIFT) * like[0]
-        self.w1 = a / (a + ((_ONE - self.w1) * _HOLD + _LIFT) * like[1])
-        self.prev2, self.prev1 = self.prev1, ids
-
-    def keep(self, mask: np.ndarray) -> None:
-        """Only the lanes in ``mask`` go on; tables stay where they are."""
-        for name in ("base1", "base2", "base_h", "w1", "prev1", "prev2"):
-            setattr(self, name, getattr(self, name)[mask])
-
-
-def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order 0 of each lane: (sorted ids, first place of each one's run, length of its run, weight of an unmet id)."""
-    s = np.sort(ids, axis=1)
-    lanes, t = s.shape
-    new = np.ones((lanes, t), dtype=bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    place = np.flatnonzero(new)
-    size = np.diff(np.append(place, lanes * t))
-    run = np.cumsum(new.ravel()) - 1
-    first = (place % t)[run].reshape(lanes, t)
-    count = size[run].reshape(lanes, t)
-    return s, first, count, (count == 1).sum(axis=1) + 1
-
-
-def _segments(longest: int) -> list[tuple[int, int]]:
-    """Spans between refreshes of order 0."""
-    cuts = [0]
-    while cuts[-1] < longest:
-        cuts.append(min(longest, max(32, cuts[-1] * 3 // 2)))
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
-
-
-class _Out:
-    def __init__(self, lanes: int, words: int) -> None:
-        self.buf = np.zeros((lanes, words), dtype=np.uint16)
-        self.flat, self.width = self.buf.reshape(-1), words
-        self.base, self.at = np.arange(lanes, dtype=np.int64) * words, np.zeros(lanes, dtype=np.int64)
-        self.low, self.range = np.zeros(lanes, dtype=_U), np.full(lanes, _TOP - _U(1), dtype=_U)
-
-    def code(self, n: int, lo: np.ndarray, wide: np.ndarray, step: np.ndarray, pick: np.ndarray | slice) -> None:
-        """Narrow lanes ``pick`` of the first ``n`` to ``[lo, lo + wide)`` in units of ``step``."""
-        low = self.low[:n][pick] + lo * step
-        rng = wide * step
-        carry = low >= _TOP
-        if carry.any():
-            low[carry] -= _TOP
-            at = (self.base[:n][pick] + self.at[:n][pick] - 1)[carry]
-            while len(at):
-                self.flat[at] += np.uint16(1)
-                at = at[self.flat[at] == 0] - 1
-        self.low[:n][pick], self.range[:n][pick] = low, rng
-
-    def emit(self, n: int) -> None:
-        while True:
-            i = np.flatnonzero(self.range[:n] < _MIN)
-            if not len(i):
-                return
-            low = self.low[i]
-            self.flat[self.base[i] + self.at[i]] = (low >> _U(32)).astype(np.uint16)
-            self.at[i] += 1
-            self.low[i] = (low & _LOW) << _U(16)
-            self.range[i] <<= _U(16)
-
-    def finish(self) -> list[bytes]:
-        """The shortest tail within each lane's range: the top word, or two, rounded up."""
-        self.code(len(self.low), np.ones(len(self.low), dtype=_U), np.full(len(self.low), _U(1)), np.full(len(self.low), _LOW), slice(None))
-        self.flat[self.base + self.at] = (self.low >> _U(32)).astype(np.uint16)
-        self.at += 1
-        return [self.buf[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
-
-
-def _raw_words(wide: bool) -> tuple[int, ...]:
-    return (16, 0) if wide else (0,)
-
-
-def encode_blocks(blocks: list[np.ndarray], wide: bool = False) -> list[bytes]:
-    """Code each block of ids; ``wide`` where an id can be 65536 or more."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order], dtype=np.int64)
-    out: list[bytes] = [b""] * len(blocks)
-    if not len(sizes) or not sizes[0]:
-        return out
-    longest = int(sizes[0])
-    ids = np.zeros((len(order), longest), dtype=np.uint32 if wide else np.uint16)
-    for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
-    coder, model = _Out(len(order), 4 * longest + 8 if wide else 3 * longest + 8), _Model(len(order), wide)
-    n = len(order)
-    for start, end in _segments(longest):
-        alive = int((sizes > start).sum())
-        if alive < n:
-            model.keep(np.arange(n) < alive)
-            n = alive
-        if start:
-            s, first, count, unmet = _history(ids[:n, :start])
-            at = np.stack([np.searchsorted(s[k], ids[k, start:end]) for k in range(n)])
-            at[at == start] = 0
-            rows = np.arange(n)[:, None]
-            known = (s[rows, at] == ids[:n, start:end]).T
-            low0, wide0 = at.astype(np.uint16).T.copy(), count[rows, at].astype(np.uint16).T.copy()
-            total = (start + unmet).astype(_U)
-        for t in range(start, end):
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            if live < n:
-                model.keep(np.arange(n) < live)
-                n = live
-            x = ids[:n, t].astype(np.int64)
-            p1, m1, p2, m2 = model.predict()
-            hit2 = p2 == x + 1
-            hit1 = (p1 == x + 1) & ~hit2
-            step = coder.range[:n] >> _U(16)
-            both = m1 + m2
-            lo = np.where(hit2, 0, np.where(hit1, m2, both)).astype(_U)
-            width = np.where(hit2, m2, np.where(hit1, m1, 65536 - both)).astype(_U)
-            coder.code(n, lo, width, step, slice(None))
-            rest = np.flatnonzero(~(hit1 | hit2))
-            if len(rest):
-                if start:
-                    got = known[t - start][rest]
-                    whole = total[rest]
-                    lo0 = np.where(got, low0[t - start][rest], start).astype(_U)
-                    w0 = np.where(got, wide0[t - start][rest].astype(_U), whole - _U(start))
-                    coder.code(n, lo0, w0, coder.range[rest] // whole, rest)
-                    rest = rest[~got]
-                coder.emit(n)
-                for shift in _raw_words(wide):
-                    if len(rest):
-                        coder.code(n, (x[rest] >> shift & 0xFFFF).astype(_U), np.ones(len(rest), dtype=_U), coder.range[rest] >> _U(16), rest)
-                        coder.emit(n)
-            else:
-                coder.emit(n)
-            model.learn(x)
-    for i, data in zip(order, coder.finish(), strict=True):
-        out[i] = data
-    return out
-
-
-class _In:
-    def __init__(self, data: list[bytes]) -> None:
-        words = max(len(d) // 2 for d in data) + 6
-        buf = np.zeros((len(data), words), dtype=np.uint16)
-        for i, d in enumerate(data):
-            buf[i, : len(d) // 2] = np.frombuffer(d, dtype="<u2")
-        self.flat, self.base = buf.reshape(-1), np.arange(len(data), dtype=np.int64) * words
-        self.end, self.at = self.base + words - 1, self.base + 3
-        w = buf[:, :3].astype(_U)
-        self.code, self.range = (w[:, 0] << _U(32)) | (w[:, 1] << _U(16)) | w[:, 2], np.full(len(data), _TOP - _U(1), dtype=_U)
-
-    def fill(self, n: int) -> None:
-        while True:
-            i = np.flatnonzero(self.range[:n] < _MIN)
-            if not len(i):
-                return
-            at = self.at[i]
-            self.code[i] = (self.code[i] << _U(16)) | self.flat[np.minimum(at, self.end[i])]
-            self.at[i] = at + 1
-            self.range[i] <<= _U(16)
-
-
-def decode_blocks(data: list[bytes], sizes: list[int], wide: bool = False) -> list[np.ndarray]:
-    """The ids that :func:`encode_blocks` coded; ``sizes`` are their numbers."""
-    order = sorted(range(len(data)), key=lambda i: -sizes[i])
-    lengths = np.array([sizes[i] for i in order], dtype=np.int64)
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(data)
-    if not len(lengths) or not lengths[0]:
-        return out
-    longest, n = int(lengths[0]), len(order)
-    coder, model = _In([data[i] for i in order]), _Model(n, wide)
-    ids = np.zeros((n, longest), dtype=np.uint32 if wide else np.uint16)
-    for start, end in _segments(longest):
-        alive = int((lengths > start).sum())
-        if alive < n:
-            model.keep(np.arange(n) < alive)
-            n = alive
-        if start:
-            s, first, count, unmet = _history(ids[:n, :start])
-            s, first, count = s.reshape(-1), first.reshape(-1), count.reshape(-1)
-            total, lane = (start + unmet).astype(_U), np.arange(n, dtype=np.int64) * start
-        for t in range(start, end):
-            live = int(np.searchsorted(-lengths, -t, side="left"))
-            if live < n:
-                model.keep(np.arange(n) < live)
-                n = live
-            p1, m1, p2, m2 = model.predict()
-            step = coder.range[:n] >> _U(16)
-            both = m1 + m2
-            value = (coder.code[:n] // step).astype(np.int64)
-            hit2 = value < m2
-            hit1 = (value < both) & ~hit2
-            lo = np.where(hit2, 0, np.where(hit1, m2, both)).astype(_U)
-            width = np.where(hit2, m2, np.where(hit1, m1, 65536 - both)).astype(_U)
-            coder.code[:n] -= lo * step
-            coder.range[:n] = width * step
-            x = np.where(hit2, p2, p1).astype(np.int64) - 1
-            rest = np.flatnonzero(~(hit1 | hit2))
-            if len(rest):
-                if start:
-                    whole = total[rest]
-                    step = coder.range[rest] // whole
-                    slot = np.minimum(coder.code[rest] // step, whole - _U(1)).astype(np.int64)
-                    got = slot < start
-                    at = lane[rest] + np.where(got, slot, 0)
-                    lo0 = np.where(got, first[at], start).astype(_U)
-                    w0 = np.where(got, count[at].astype(_U), whole - _U(start))
-                    coder.code[rest] -= lo0 * step
-                    coder.range[rest] = w0 * step
-                    x[rest] = s[at]
-                    rest = rest[~got]
-                coder.fill(n)
-                if len(rest):
-                    x[rest] = 0
-                    for _ in _raw_words(wide):
-                        step = coder.range[rest] >> _U(16)
-                        v = np.minimum(coder.code[rest] // step, _U(65535))
-                        coder.code[rest] -= v * step
-                        coder.range[rest] = step
-                        x[rest] = (x[rest] << 16) | v.astype(np.int64)
-                        coder.fill(n)
-            else:
-                coder.fill(n)
-            ids[:n, t] = x
-            model.learn(x)
-    for row, i in enumerate(order):
-        out[i] = ids[row, : sizes[i]].astype(np.uint32)
-    return out
+
+JAVA = r"""
+package veriscope;
+
+import java.util.Arrays;
+import java.util.Base64;
+
+public final class CLASS {
+  // parts of a step, of which orders 1 and 2 have ROOM at most; bits of a table's places
+  static final int PARTS = 1 << 16, ROOM = PARTS - 2048, BITS1 = 12, BITS2 = 13, BITS0 = 13;
+  static final int MOST = 4096;
+  static final long TOP = 1L << 40, LEAST = 1L << 32;
+  static final double RATE = 1.0 / 32, HOLD = 0.96, LIFT = 0.02;
+  static final double[] START = {0.02, 0.3, 0.6, 0.8};
+
+  // orders 1 and 2: slot + 1 of the predicted id, and two bits of confidence
+  final int[] table1 = new int[1 << BITS1], table2 = new int[1 << BITS2];
+  final double[] hits1 = new double[4], hits2 = new double[4];
+  double weight = 0.5;
+  int last = 0, before = 0, place1, place2, said1, said2, share1, share2;
+
+  // order 0: slots by first appearance, counts, and sums of counts as a binary indexed tree
+  final int[] index = new int[1 << BITS0], ids = new int[MOST + 1], counts = new int[MOST + 1], tree = new int[MOST + 1];
+  int slots = 0, total = 0, once = 0;
+
+  // range coder
+  long low, range, code;
+  byte[] data;
+  int at;
+
+  static final ThreadLocal HELD = new ThreadLocal();
+
+  /** A fresh model; each thread uses its own again. */
+  static CLASS fresh(int n) {
+    if (n > MOST) throw new IllegalArgumentException(n + " ids in a block of " + MOST);
+    CLASS c = (CLASS) HELD.get();
+    if (c == null) HELD.set(c = new CLASS());
+    Arrays.fill(c.table1, 0);
+    Arrays.fill(c.table2, 0);
+    Arrays.fill(c.index, 0);
+    Arrays.fill(c.counts, 0);
+    Arrays.fill(c.tree, 0);
+    for (int k = 0; k < 4; k++) c.hits1[k] = c.hits2[k] = START[k];
+    c.weight = 0.5;
+    c.last = c.before = c.slots = c.total = c.once = c.at = 0;
+    c.low = c.code = 0;
+    c.range = TOP - 1;
+    return c;
+  }
+
+  int find(int id) {
+    int k = (id * 0x9E3779B1) >>> (32 - BITS0);
+    while (index[k] != 0 && ids[index[k] - 1] != id) k = (k + 1) & ((1 << BITS0) - 1);
+    return index[k] - 1;
+  }
+
+  int add(int id) {
+    int k = (id * 0x9E3779B1) >>> (32 - BITS0);
+    while (index[k] != 0) k = (k + 1) & ((1 << BITS0) - 1);
+    ids[slots] = id;
+    index[k] = slots + 1;
+    return slots++;
+  }
+
+  int below(int slot) {
+    int sum = 0;
+    for (int k = slot; k > 0; k -= k & -k) sum += tree[k];
+    return sum;
+  }
+
+  int counted(int slot) {
+    return slot < 0 ? 0 : counts[slot];
+  }
+
+  /** Shares of PARTS that the ids predicted by orders 1 and 2 have; one that both predict is order 2's. */
+  void predict() {
+    int near = last * 0x9E3779B1;
+    place1 = near >>> (32 - BITS1);
+    place2 = (before * 0x85EBCA6B + near) >>> (32 - BITS2);
+    int e1 = table1[place1], e2 = table2[place2];
+    said1 = (e1 >> 2) - 1;
+    said2 = (e2 >> 2) - 1;
+    int own1 = said1 < 0 ? 0 : 1 + (int) (weight * hits1[e1 & 3] * ROOM);
+    int own2 = said2 < 0 ? 0 : 1 + (int) ((1 - weight) * hits2[e2 & 3] * ROOM);
+    long rest = PARTS - own1 - own2, whole = total + once + 1;
+    if (said1 >= 0 && said1 == said2) {
+      share1 = 0;
+      share2 = own1 + own2 + (int) (rest * counts[said2] / whole);
+    } else {
+      share1 = own1 + (int) (rest * counted(said1) / whole);
+      share2 = own2 + (int) (rest * counted(said2) / whole);
+    }
+  }
+
+  void learn(int slot) {
+    int e1 = table1[place1], e2 = table2[place2];
+    double like1 = 1 - hits1[0], like2 = 1 - hits2[0];
+    if (said1 >= 0) {
+      double h = hits1[e1 & 3];
+      like1 = said1 == slot ? h : 1 - h;
+      hits1[e1 & 3] = h + ((said1 == slot ? 1 : 0) - h) * RATE;
+    }
+    if (said2 >= 0) {
+      double h = hits2[e2 & 3];
+      like2 = said2 == slot ? h : 1 - h;
+      hits2[e2 & 3] = h + ((said2 == slot ? 1 : 0) - h) * RATE;
+    }
+    // a hit raises the confidence, a miss lowers it; at the lowest the id is replaced
+    table1[place1] = said1 == slot ? (e1 | 3) == e1 ? e1 : e1 + 1 : (e1 & 3) > 0 ? e1 - 1 : (slot + 1) << 2;
+    table2[place2] = said2 == slot ? (e2 | 3) == e2 ? e2 : e2 + 1 : (e2 & 3) > 0 ? e2 - 1 : (slot + 1) << 2;
+    double a = (weight * HOLD + LIFT) * like1, b = ((1 - weight) * HOLD + LIFT) * like2;
+    weight = a / (a + b);
+    before = last;
+    last = ids[slot] + 1;
+    if (slot == said1 || slot == said2) return;
+    if (counts[slot] == 0) once++;
+    if (counts[slot] == 1) once--;
+    counts[slot]++;
+    total++;
+    for (int k = slot + 1; k < tree.length; k += k & -k) tree[k]++;
+  }
+
+  /** Narrow the range to ``width`` from ``from`` on, in units of ``step``. */
+  void put(long from, long width, long step) {
+    low += step * from;
+    range = step * width;
+    if (low >= TOP) {
+      low -= TOP;
+      int k = at - 1;
+      data[k]++;
+      while (data[k] == 0) {
+        k--;
+        data[k]++;
+      }
+    }
+    while (range < LEAST) {
+      data[at++] = (byte) (low >>> 32);
+      low = (low & (LEAST - 1)) << 8;
+      range <<= 8;
+    }
+  }
+
+  int aim(long step, int whole) {
+    return (int) Math.min(code / step, whole - 1);
+  }
+
+  void take(long from, long width, long step) {
+    code -= step * from;
+    range = step * width;
+    while (range < LEAST) {
+      code = (code << 8) | next();
+      range <<= 8;
+    }
+  }
+
+  int next() {
+    int k = at++;
+    return k < data.length ? data[k] & 255 : 0;
+  }
+
+  /** Order 0 without the ids that orders 1 and 2 predict: what stands below a slot. */
+  int without(int slot) {
+    int sum = below(slot);
+    if (said1 >= 0 && said1 < slot) sum -= counts[said1];
+    if (said2 >= 0 && said2 != said1 && said2 < slot) sum -= counts[said2];
+    return sum;
+  }
+
+  int left() {
+    return total + once + 1 - counted(said1) - (said2 == said1 ? 0 : counted(said2));
+  }
+
+  static byte[] bytes(String text) {
+    return (text.indexOf('\r') < 0 ? Base64.getDecoder() : Base64.getMimeDecoder()).decode(text);
+  }
+
+  /** Coded bytes of ids of ``width`` little-endian bytes. */
+  public static String encode(String text, int width) {
+    byte[] in = bytes(text);
+    int n = in.length / width;
+    CLASS c = fresh(n);
+    c.data = new byte[n * (width + 4) + 16];
+    for (int i = 0; i < n; i++) {
+      int id = 0;
+      for (int k = width - 1; k >= 0; k--) id = (id << 8) | (in[i * width + k] & 255);
+      c.predict();
+      int slot = c.find(id);
+      if (slot >= 0 && slot == c.said2) c.put(0, c.share2, c.range >>> 16);
+      else if (slot >= 0 && slot == c.said1) c.put(c.share2, c.share1, c.range >>> 16);
+      else {
+        c.put(c.share1 + c.share2, PARTS - c.share1 - c.share2, c.range >>> 16);
+        int left = c.left();
+        if (slot >= 0) c.put(c.without(slot), c.counts[slot], c.range / left);
+        else {
+          c.put(left - c.once - 1, c.once + 1, c.range / left);
+          for (int k = width - 2; k >= 0; k -= 2) c.put((id >>> (8 * k)) & 65535, 1, c.range >>> 16);
+          slot = c.add(id);
+        }
+      }
+      c.learn(slot);
+    }
+    // one byte more names a point within the range
+    long point = (c.low + LEAST - 1) & ~(LEAST - 1);
+    if (point >= TOP) {
+      int k = c.at - 1;
+      c.data[k]++;
+      while (c.data[k] == 0) {
+        k--;
+        c.data[k]++;
+      }
+    }
+    c.data[c.at++] = (byte) (point >>> 32);
+    return Base64.getEncoder().encodeToString(Arrays.copyOf(c.data, c.at));
+  }
+
+  /** The ids that encode() coded, ``n`` of them. */
+  public static String decode(String text, int n, int width) {
+    CLASS c = fresh(n);
+    c.data = bytes(text);
+    for (int k = 0; k < 5; k++) c.code = (c.code << 8) | c.next();
+    byte[] out = new byte[n * width];
+    for (int i = 0; i < n; i++) {
+      c.predict();
+      long step = c.range >>> 16;
+      int part = c.aim(step, PARTS);
+      int slot;
+      if (part < c.share2) {
+        slot = c.said2;
+        c.take(0, c.share2, step);
+      } else if (part < c.share1 + c.share2) {
+        slot = c.said1;
+        c.take(c.share2, c.share1, step);
+      } else {
+        c.take(c.share1 + c.share2, PARTS - c.share1 - c.share2, step);
+        int left = c.left(), fresh = left - c.once - 1;
+        step = c.range / left;
+        int v = c.aim(step, left);
+        if (v >= fresh) {
+          c.take(fresh, c.once + 1, step);
+          int id = 0;
+          for (int k = width - 2; k >= 0; k -= 2) {
+            step = c.range >>> 16;
+            int word = c.aim(step, PARTS);
+            c.take(word, 1, step);
+            id = (id << 16) | word;
+          }
+          if (c.find(id) >= 0) return "";
+          slot = c.add(id);
+        } else {
+          int first = Math.min(c.said1, c.said2), second = Math.max(c.said1, c.said2);
+          int sum = v;
+          if (first >= 0 && first != second && sum >= c.below(first)) sum += c.counts[first];
+          if (second >= 0 && sum >= c.below(second)) sum += c.counts[second];
+          slot = 0;
+          int rest = sum;
+          for (int k = Integer.highestOneBit(c.tree.length); k > 0; k >>= 1)
+            if (slot + k < c.tree.length && c.tree[slot + k] <= rest) {
+              slot += k;
+              rest -= c.tree[slot];
+            }
+          if (slot >= c.slots) return "";
+          // sum - rest stands below the slot, what was added to v for predicted ids is not order 0's
+          c.take(v - rest, c.counts[slot], step);
+        }
+      }
+      if (slot < 0) return "";
+      c.learn(slot);
+      int id = c.ids[slot];
+      for (int k = 0; k < width; k++) out[i * width + k] = (byte) (id >>> (8 * k));
+    }
+    return Base64.getEncoder().encodeToString(out);
+  }
+}
+"""
+
+_NAME = "Coder" + sha256(JAVA.encode()).hexdigest()[:12]
+_READY: set[tuple[str, int]] = set()
+
+
+def coder_class(spark: SparkSession) -> str:
+    """The class of the coder, compiled and known to the session and its executors."""
+    sc = spark.sparkContext
+    path = f"{checkpoint_root(spark)}/veriscope-{_NAME}.jar"
+    fs, base = open_fs(path)
+    if not fs.get_file_info(base).is_file:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(JAVA.replace("CLASS", _NAME))
+        codes, jar = compiler.getBytecodes(), io.BytesIO()
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in codes:
+                z.writestr(name.replace(".", "/") + ".class", bytes(codes[name]))
+        fs.create_dir(base.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(base, compression=None) as out:
+            out.write(jar.getvalue())
+    session = sc.applicationId, spark._jsparkSession.hashCode()
+    if session not in _READY:
+        spark.sql(f"ADD JAR '{path}'")
+        _READY.add(session)
+    return f"veriscope.{_NAME}"
+
+
+def encoded(spark: SparkSession, ids: Column, width: int) -> Column:
+    """Coded bytes of a block: little-endian ids of ``width`` bytes each, 2 or 4, at most ``BLOCK_IDS`` of them; null for null."""
+    made = F.reflect(F.lit(coder_class(spark)), F.lit("encode"), F.base64(ids), F.lit(width))
+    return F.when(ids.isNotNull(), F.unbase64(made))
+
+
+def decoded(spark: SparkSession, data: Column, n: Column, width: Column) -> Column:
+    """The ids that :func:`encoded` coded, ``n`` of them; damaged bytes give others, or none."""
+    made = F.reflect(F.lit(coder_class(spark)), F.lit("decode"), F.base64(data), n.cast("int"), width.cast("int"))
+    return F.when(data.isNotNull(), F.unbase64(made))

@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,8 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces remembered by a worker before it starts afresh.
-CACHE_PIECES = 400_000
+#: Pieces (in Arrow) and words that a worker remembers before it starts afresh.
+CACHE_PIECES, CACHE_WORDS = 200_000, 350_000
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-žǍ-ǯ]")
 #: Pieces that a file's words and the library must agree on before words are merged alone.
 _CASES = "a Word don't I'LL 'S x1y22 ¼²³ªº ÉÈ-ñ_ß ÿŸ ..,!? (a)b's' <|x|> 'd'\tq a\xa0b '' ''re ſ Ŀ"
@@ -58,12 +59,14 @@ class Encoder:
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.table, self.begin, self.pool = pa.array([], pa.large_string()), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.dtype)
         self.fast = None
         self.kind = _kind(spec)
         if self.kind == "word":
             self.letters = {b: c for c, b in _byte_letters().items()}
             self.words, self.known = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), {}
+            self.merge = self._word_ranks(spec)
             texts = _CASES.split(" ")
             if self._pieces(texts) != self._whole(texts):
                 self.kind = "whole"
@@ -99,42 +102,85 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ranks(self, spec: dict):
+        """The same merges of a word's bytes in tiktoken, or None unless they are proved equal.
+
+        The byte FF, which no text has, stands for the end of a word: joined to
+        the last byte it is merged before all else, as the ranks of these pairs
+        are the least.
+        """
+        import tiktoken
+        from tokenizers.models import BPE
+
+        letters, vocab, end = _byte_letters(), spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        special, inner, ranks = set(self.added), BPE(vocab=vocab, merges=merges), {}
+        for word, i in vocab.items():
+            if word in special:
+                continue
+            stem = word.removesuffix(end) if end else word
+            if not end or not stem or any(c not in letters for c in stem):
+                return None
+            ranks[bytes(letters[c] for c in stem) + b"\xff" * (stem != word)] = i
+            if [t.id for t in (inner if stem == word else self.tok.model).tokenize(stem)] != [i]:
+                return None
+        first = len(ranks) - len(merges)
+        if any(vocab[a + b] != first + i for i, (a, b) in enumerate(merges)) or any(ranks.get(bytes([b, 255]), first) >= first for b in range(255)):
+            return None
+        return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
     def _word(self, word: str) -> bytes:
         """Ids of one word, as the model merges its bytes."""
-        letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-        return self.pack([t.id for t in self.tok.model.tokenize(letters)])
+        if self.merge:
+            found = self.merge(word.encode() + b"\xff")
+        else:
+            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            found = [t.id for t in self.tok.model.tokenize(letters)]
+        ids = self.known[word] = array(self.code, found).tobytes()
+        return ids
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without spaces: the file's pattern cuts them into words, different words are merged once."""
-        find, words = self.words.findall, self.known
-        if len(words) > CACHE_PIECES:
+        """Ids of pieces without spaces: the file's pattern cuts them into words, different words are merged once.
+
+        A piece of letters alone is one word.
+        """
+        find, words, word = self.words.findall, self.known, self._word
+        if len(words) > CACHE_WORDS:
             words.clear()
         out: list[bytes] = []
         for p in pieces:
-            parts = find(p.lower())
-            for w in parts:
-                if w not in words:
-                    words[w] = self._word(w)
-            out.append(words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts]))
+            low = p.lower()
+            if low.isalpha():
+                out.append(words.get(low) or word(low))
+            else:
+                out.append(b"".join([words.get(w) or word(w) for w in find(low)]))
         return out
 
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each piece in the table; those that it lacks are added."""
+        if len(self.table) > CACHE_PIECES:
+            self.table, self.begin, self.pool = self.table[:0], self.begin[:1], self.pool[:0]
+        at = pc.index_in(distinct, value_set=self.table)
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        new = distinct.filter(at.is_null())
+        if len(new):
+            ids = self._pieces(new.to_pylist())
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
+            place[place < 0] = np.arange(len(self.table), len(self.table) + len(new))
+            self.table = pa.concat_arrays([self.table, new])
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(size))
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), dtype=self.dtype))
+        return place
+
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by their pieces: Arrow cuts and numbers these, so that only different ones are looked up."""
+        """Ids of texts by their pieces: Arrow cuts, numbers and finds these; only pieces not met before are looked at one by one."""
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
-        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = [p for p in distinct if p not in self.cache]
-        self.cache.update(zip(new, self._pieces(new), strict=True))
-        found = list(map(self.cache.__getitem__, distinct))
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
-        pool = np.frombuffer(b"".join(found), dtype=self.dtype)
-        begin = np.cumsum(size) - size
-        n = size[number]
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        begin = self.begin[place]
+        n = self.begin[place + 1] - begin
         ends = np.cumsum(n)
-        place = np.repeat(begin[number] - (ends - n), n) + np.arange(int(n.sum()))
-        raw = pool[place].tobytes()
+        raw = self.pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
         at = (np.append(0, ends)[cut.offsets.to_numpy()] * self.width).tolist()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
