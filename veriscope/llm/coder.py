@@ -288,11 +288,11 @@ public final class CLASS {
           if (second >= 0 && sum >= c.below(second)) sum += c.counts[second];
           slot = 0;
           int rest = sum;
-          for (int k = Integer.highestOneBit(c.tree.length); k > 0; k >>= 1)
-            if (slot + k < c.tree.length && c.tree[slot + k] <= rest) {
-              slot += k;
-              rest -= c.tree[slot];
-            }
+          for (int k = Integer.highestOneBit(c.slots); k > 0; k >>= 1) {
+            int there = c.tree[slot + k], beyond = (there - 1 - rest) >> 31;  // all ones if the slot lies beyond
+            slot += k & beyond;
+            rest -= there & beyond;
+          }
           if (slot >= c.slots) return "";
           // sum - rest stands below the slot, what was added to v for predicted ids is not order 0's
           c.take(v - rest, c.counts[slot], step);
