@@ -37,7 +37,7 @@ from .tokenize import encoder
 
 MAGIC = b"VSTOKS02"
 #: Text that is tokenised at once: the more, the fewer times a word is looked up.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 3 << 20
 #: Bytes of blocks that are read by one range request.
 READ_BYTES = 4 << 20
 

@@ -60,7 +60,8 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.code = "H" if self.width == 2 else "I"
-        self.table, self.begin, self.pool = pa.array([], pa.large_string()), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.dtype)
+        self.table, self.met = pa.array([], pa.large_string()), np.zeros(0, dtype=bool)
+        self.begin, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.dtype)
         self.fast = None
         self.kind = _kind(spec)
         if self.kind == "word":
@@ -157,31 +158,41 @@ class Encoder:
         return out
 
     def _places(self, distinct: pa.Array) -> np.ndarray:
-        """The place of each piece in the table; those that it lacks are added."""
+        """The place of each piece in the table; those that it lacks are added.
+
+        A table that is full keeps the pieces that were met again since it was last.
+        """
         if len(self.table) > CACHE_PIECES:
-            self.table, self.begin, self.pool = self.table[:0], self.begin[:1], self.pool[:0]
+            kept = np.flatnonzero(self.met) if 2 * self.met.sum() < CACHE_PIECES else np.zeros(0, dtype=np.int64)
+            self.pool, self.begin = self._gathered(kept)
+            self.table, self.met = self.table.take(pa.array(kept)), np.zeros(len(kept), dtype=bool)
         at = pc.index_in(distinct, value_set=self.table)
         place = at.fill_null(-1).to_numpy().astype(np.int64)
+        self.met[place[place >= 0]] = True
         new = distinct.filter(at.is_null())
         if len(new):
             ids = self._pieces(new.to_pylist())
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width
             place[place < 0] = np.arange(len(self.table), len(self.table) + len(new))
-            self.table = pa.concat_arrays([self.table, new])
+            self.table, self.met = pa.concat_arrays([self.table, new]), np.append(self.met, np.zeros(len(new), dtype=bool))
             self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(size))
             self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), dtype=self.dtype))
         return place
 
+    def _gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of the pieces at places of the table, one behind the other."""
+        begin = self.begin[place]
+        n = self.begin[place + 1] - begin
+        bounds = np.append(0, np.cumsum(n))
+        return self.pool[np.repeat(begin - bounds[:-1], n) + np.arange(bounds[-1])], bounds
+
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their pieces: Arrow cuts, numbers and finds these; only pieces not met before are looked at one by one."""
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         place = self._places(coded.dictionary)[coded.indices.to_numpy()]
-        begin = self.begin[place]
-        n = self.begin[place + 1] - begin
-        ends = np.cumsum(n)
-        raw = self.pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
-        at = (np.append(0, ends)[cut.offsets.to_numpy()] * self.width).tolist()
+        ids, bounds = self._gathered(place)
+        raw, at = ids.tobytes(), (bounds[cut.offsets.to_numpy()] * self.width).tolist()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
