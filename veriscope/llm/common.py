@@ -136,18 +136,25 @@ def text_chunks(
     """Cut Arrow batches into slices of about ``limit`` bytes of text.
 
     A slice holds whole rows, so one text above the limit is a slice alone.
+    Slices are copies, so that a batch goes before the next one comes.
     """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    source = iter(batches)
+    while (batch := next(source, None)) is not None:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        start = used = 0
+        cuts, used = [0], 0
         for i, size in enumerate(sizes):
             if used and used + size > limit:
-                yield batch.slice(start, i - start)
-                start, used = i, 0
+                cuts.append(i)
+                used = 0
             used += size
-        yield batch.slice(start)
+        spans = list(zip(cuts, [*cuts[1:], batch.num_rows], strict=True)) if batch.num_rows else []
+        for k, (start, end) in enumerate(spans):
+            part = batch.take(pa.array(range(start, end), pa.int64()))
+            if k == len(spans) - 1:
+                batch = None
+                pa.default_memory_pool().release_unused()
+            yield part
+            del part
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,8 @@ BITS, BLOCK, RADIUS, BLOCK_RADIUS = 256, 16, 63, 3
 ITEM_RADIUS = 2
 #: Items of a slice, and their words.
 SLICE_ITEMS, SLICE_WORDS = 4000, 1_000_000
+#: Text that is searched at once.
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _WINDOWS = 8192
 _BUILT: dict[str, Index] = {}
@@ -315,7 +317,7 @@ def find(
     for k in range(n):
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches):
+            for batch in text_chunks(batches, limit=SLICE_BYTES):
                 found = search(_index(root, k), batch.column("text").to_pylist(), percent)
                 before = batch.column("hits").to_pylist()
                 both = [(a or []) + b for a, b in zip(before, found, strict=True)]

@@ -14,6 +14,8 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of text that are hashed at once.
+PART = 1 << 17
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -46,7 +48,8 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ui
     """A polynomial hash of values[s:e] for each span, in constant time a span."""
     up, down = _powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
+    np.multiply(values, up[: len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return (sums[ends] - sums[starts]) * down[starts]
 
 
@@ -92,8 +95,16 @@ def split_words(texts: Sequence[str | None], lower: bool = False) -> Words:
     starts, ends = edge[0::2], edge[1::2]
     begins = np.cumsum([0] + [len(r) + 1 for r in raw])
     docs = np.searchsorted(starts, begins)
-    hashes = mix(_spans(buf.astype(_U) + _U(1), starts, ends, _BASE) + (ends - starts).astype(_U))
-    return Words(buf, starts, ends, docs, hashes)
+    hashes = np.empty(len(starts), dtype=_U)
+    first = 0
+    while first < len(starts):  # eight bytes a byte, so a part at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PART, side="right")))
+        s, e = starts[first:last], ends[first:last]
+        part = buf[s[0] : e[-1]].astype(_U)
+        part += _U(1)
+        hashes[first:last] = _spans(part, s - s[0], e - s[0], _BASE)
+        first = last
+    return Words(buf, starts, ends, docs, mix(hashes + (ends - starts).astype(_U)))
 
 
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
