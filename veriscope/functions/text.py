@@ -47,6 +47,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything but white space stands in ``text``."""
+    return text.rlike("[^" + _BLANK[1:])
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{_BLANK}+"), lambda w: w != "")
 

@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files make fewer; large inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -49,7 +55,7 @@ def number(text: Column) -> Column:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.chunk(table(spark, sf, "documents").select("doc_id", "text"), "fixed", 1000, 150)
+    rows = C.chunk(spread(table(spark, sf, "documents").select("doc_id", "text")), "fixed", 1000, 150)
     return rows.select((F.col("doc_id") * 1_000_000 + F.col("ordinal")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "ordinal", "text")
 
 
@@ -58,7 +64,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = R.evidence(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    pairs = R.evidence(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "benchmark"))
     return pairs.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("document_id"))
 
 
@@ -501,7 +507,9 @@ def nugget_recall(spark: SparkSession, sf: str) -> DataFrame:
     FROM docs LEFT JOIN nug USING (question_id, k)"""
 )
 def recall_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.recall_curve(lexical_ranking(spark, sf), evidence(spark, sf), _facts(spark, sf), _passages(spark, sf), KS))
+    ranking = lexical_ranking(spark, sf).persist()  # a few rows a question, read by both halves of the curve
+    passages = ranking.join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id").select("question_id", "rank", "text")
+    return rounded(M.recall_curve(ranking, evidence(spark, sf), _facts(spark, sf), passages, KS))
 
 
 @query(
