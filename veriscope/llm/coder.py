@@ -24,6 +24,7 @@ them as static methods, which take and give text: bytes pass in base 64.
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from hashlib import sha256
 
@@ -325,8 +326,10 @@ def coder_class(spark: SparkSession) -> str:
             for name in codes:
                 z.writestr(name.replace(".", "/") + ".class", bytes(codes[name]))
         fs.create_dir(base.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(base, compression=None) as out:
+        part = f"{base}.{uuid.uuid4().hex}"  # whole or not there, whoever else writes it
+        with fs.open_output_stream(part, compression=None) as out:
             out.write(jar.getvalue())
+        fs.move(part, base)
     session = sc.applicationId, spark._jsparkSession.hashCode()
     if session not in _READY:
         spark.sql(f"ADD JAR '{path}'")
