@@ -20,6 +20,8 @@ from ..functions.text import STOP_WORDS
 QUERY_BYTES, QUERY_TERMS, ITEM_BYTES = 64 << 20, 1_000_000, 64 << 20
 #: Rows, and questions, that are scored at once; numbers in a table of counts.
 _BLOCK, _ASKED, _CELLS = 4096, 512, 1 << 22
+#: Scores that are rounded to 9 digits may come to lie this much apart from what they were, and be equal.
+_NEAR = 2e-9
 
 
 def ranked(rows: DataFrame, k: int | None = None, by: str = "score", question: str = "question_id", item: str = "chunk_id") -> DataFrame:
@@ -43,11 +45,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     slices = max(1, -(-size // QUERY_BYTES))
     out = None
     for part in range(slices):
-        rows = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == part).collect()
-        by_dim: dict[int, list] = {}
-        for r in rows:
-            by_dim.setdefault(len(r["vector"]), []).append(r)
-        blocks = {d: (np.array([r["question_id"] for r in x], dtype=np.int64), _unit(np.array([r["vector"] for r in x]))) for d, x in by_dim.items()}
+        rows = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == part).toArrow().combine_chunks()
+        ids, lists = (rows.column(c).combine_chunks() for c in ("question_id", "vector"))
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        blocks = {int(d): (ids.to_numpy()[lengths == d], _unit(_matrix(lists.filter(pa.array(lengths == d)), d))) for d in np.unique(lengths)}
         shared = queries.sparkSession.sparkContext.broadcast(blocks)
         found = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").mapInArrow(
             lambda it, shared=shared: _best(it, shared.value, k), "question_id long, chunk_id long, score double"
@@ -56,33 +57,59 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranked(out, k)
 
 
+def _matrix(lists: pa.Array, d: int) -> np.ndarray:
+    """Lists of ``d`` numbers as rows; null is not a number."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), d)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
 
 
+def _candidates(score: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of scores, before rounding, that may be among a row's best ``k`` or above its ``least``."""
+    if score.shape[1] > k and np.isneginf(least).any():  # once a task, mostly
+        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]  # what is not a number comes last
+        least = np.fmax(least, kth)
+    return np.nonzero(score >= least[:, None] - _NEAR)
+
+
 def _best(batches: Iterator[pa.RecordBatch], blocks: dict, k: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple] = {}
+    """Each query's best ``k`` of a task; ``_ASKED`` queries meet ``_BLOCK`` vectors at once, so memory holds those and the best."""
+    held: dict[tuple[int, int], list] = {}
     for batch in batches:
-        lengths = np.array([len(v) for v in batch.column("vector")])
-        ids = batch.column("chunk_id").to_numpy()
+        lists, ids = batch.column("vector"), batch.column("chunk_id").to_numpy()
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         for d, (q_ids, q) in blocks.items():
             mine = np.flatnonzero(lengths == d)
             for at in range(0, len(mine), _BLOCK):
                 pick = mine[at : at + _BLOCK]
-                v = _unit(np.array(batch.column("vector").take(pa.array(pick)).to_pylist(), dtype=np.float64))
-                score = np.round(q @ v.T, 9)
-                score[q_ids[:, None] == ids[pick][None, :]] = np.nan
-                row, col = np.nonzero(~np.isnan(score))
-                new = (row, ids[pick][col], score[row, col])
-                if d in held:
-                    new = tuple(np.concatenate(x) for x in zip(held[d], new, strict=True))
-                order = np.lexsort((new[1], -new[2], new[0]))
-                row = new[0][order]
-                keep = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
-                held[d] = tuple(x[keep] for x in new)
-    for d, (row, chunk, score) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array(blocks[d][0][row]), pa.array(chunk), pa.array(score)], names=["question_id", "chunk_id", "score"])
+                v, near = _unit(_matrix(lists.take(pa.array(pick)), d)).T, ids[pick]
+                own = np.isin(near, q_ids).any()
+                for first in range(0, len(q_ids), _ASKED):
+                    some = slice(first, first + _ASKED)
+                    score = q[some] @ v
+                    if own:
+                        score[q_ids[some, None] == near[None, :]] = np.nan
+                    now = held.setdefault((d, first), [(), np.full(len(score), -np.inf)])
+                    row, col = _candidates(score, now[1], k)
+                    if len(row):
+                        held[d, first] = _kept(now[0], (row, near[col], np.round(score[row, col], 9)), len(score), k)
+    for (d, first), (rows, _) in held.items():
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[d][0][first + rows[0]]), pa.array(rows[1]), pa.array(rows[2])], names=["question_id", "chunk_id", "score"])
+
+
+def _kept(old: tuple, new: tuple, queries: int, k: int) -> list:
+    """The best ``k`` of each query among rows (query, chunk, score), and the least score of queries that have so many."""
+    both = tuple(np.concatenate(x) for x in zip(old, new, strict=True)) if old else new
+    order = np.lexsort((both[1], -both[2], both[0]))
+    row = both[0][order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    least = np.full(queries, -np.inf)
+    least[row[place == k - 1]] = both[2][order[place == k - 1]]
+    return [tuple(x[order[place < k]] for x in both), least]
 
 
 def terms(text: Column) -> Column:
