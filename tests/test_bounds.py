@@ -1,5 +1,6 @@
 """Memory of a task does not grow with the number of questions; results stay those of the whole job."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
@@ -40,3 +41,29 @@ def test_dense_null_components_and_other_lengths(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, None]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.5, 0.5]), (6, []), (7, [2.0, 0.0])], "chunk_id long, vector array<double>")
     found = R.dense(rows.withColumnRenamed("chunk_id", "question_id"), rows, 9).collect()
     assert sorted((r[0], r[1], r[3]) for r in found) == [(1, 5, 2), (1, 7, 1), (5, 1, 1), (5, 7, 2), (7, 1, 1), (7, 5, 2)]
+
+
+def test_lexical_memory_of_many_questions():
+    rng = np.random.default_rng(1)
+    n, k, runs = 3000, 4, [False, True]
+    vocabulary = np.array([f"w{i}" for i in range(4000)])
+    docs = [list(vocabulary[np.minimum(rng.zipf(1.3, 60), 4000) - 1]) for _ in range(n)]
+    docs[n // 2 :] = docs[: n // 2]  # ties
+    ids = rng.permutation(n)
+    asked = {q: sorted({*docs[q][:20]}) for q in range(n)}
+    rows = pa.table({"question_id": [q for q, t in asked.items() for _ in t], "term": [w for t in asked.values() for w in t]})
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1000]), pa.array(docs[at : at + 1000])], names=["chunk_id", "terms"]) for at in range(0, n, 1000)]
+    tracemalloc.start()
+    blocks = R._questions(rows) if hasattr(R, "_questions") else R._question_blocks(rows)
+    found = pa.Table.from_batches(list(R._scored(iter(batches), blocks, runs, k)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for run, q, c, s in zip(*(found.column(c).to_pylist() for c in found.column_names), strict=True):
+        got.setdefault((run, q), []).append((-s, c))
+    for q in range(0, n, 300):
+        for run, different in enumerate(runs):
+            score = [sum(min(1, d.count(w)) if different else d.count(w) for w in asked[q]) for d in map(list, docs)]
+            want = sorted((-s, int(c)) for s, c in zip(score, ids, strict=True) if s)[:k]
+            assert sorted(got.get((run, q), [])) == want
+    assert peak < 60e6 and len(pickle.dumps(blocks)) < 3e6  # what each worker holds: questions, not questions by terms

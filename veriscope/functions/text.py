@@ -44,7 +44,8 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """``text`` without white space at its ends (SQL's trim strips spaces alone)."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    # the one match runs to the end and back over blanks: no try at each blank within the text
+    return F.regexp_extract(text, f"(?s)^{_BLANK}*+(.*[^{_BLANK[1:]})?", 1)
 
 
 def has_text(text: Column) -> Column:

@@ -18,8 +18,8 @@ from ..functions.text import STOP_WORDS
 
 #: Bytes of query vectors, rows of query terms and bytes of evidence that are broadcast at once.
 QUERY_BYTES, QUERY_TERMS, ITEM_BYTES = 64 << 20, 1_000_000, 64 << 20
-#: Rows, and questions, that are scored at once; numbers in a table of counts.
-_BLOCK, _ASKED, _CELLS = 4096, 512, 1 << 22
+#: Vectors, and questions, that meet at once; numbers in a table of scores, words and matches at once, rows that wait to be ranked.
+_BLOCK, _ASKED, _CELLS, _WORDS, _WAITING = 4096, 512, 1 << 20, 1 << 18, 1 << 16
 #: Scores that are rounded to 9 digits may come to lie this much apart from what they were, and be equal.
 _NEAR = 2e-9
 
@@ -112,9 +112,14 @@ def _kept(old: tuple, new: tuple, queries: int, k: int) -> list:
     return [tuple(x[order[place < k]] for x in both), least]
 
 
+def words(text: Column) -> Column:
+    """Words ``[a-z0-9]+``, repeats included."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+
+
 def terms(text: Column) -> Column:
-    """Words ``[a-z0-9]+`` but stop words, repeats included."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*STOP_WORDS))
+    """:func:`words` but stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -124,25 +129,20 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class _Questions:
-    """Some questions: their terms, and which of them each has."""
+    """Questions by number, the terms that they ask for, and each term's questions as a span of ``asked``."""
 
     ids: pa.Array
     terms: pa.Array
-    has: np.ndarray
+    starts: np.ndarray
+    asked: np.ndarray
 
 
-def _question_blocks(asked: pa.Table) -> list[_Questions]:
-    """Blocks of questions from rows (question_id, term)."""
-    ids = asked.column("question_id").combine_chunks().dictionary_encode()
-    number, terms = ids.indices.to_numpy(), asked.column("term").combine_chunks()
-    out = []
-    for first in range(0, len(ids.dictionary), _ASKED):
-        mine = np.flatnonzero((number >= first) & (number < first + _ASKED))
-        named = terms.take(pa.array(mine)).dictionary_encode()
-        has = np.zeros((len(named.dictionary), min(_ASKED, len(ids.dictionary) - first)), dtype=np.float32)
-        has[named.indices.to_numpy(), number[mine] - first] = 1
-        out.append(_Questions(ids.dictionary.slice(first, has.shape[1]), named.dictionary, has))
-    return out
+def _questions(rows: pa.Table) -> _Questions:
+    """Questions from rows (question_id, term)."""
+    ids, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("question_id", "term"))
+    term = terms.indices.to_numpy()
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms.dictionary)))])
+    return _Questions(ids.dictionary, terms.dictionary, starts, ids.indices.to_numpy()[np.argsort(term, kind="stable")].astype(np.int64))
 
 
 def _best_rows(scores: np.ndarray, k: int) -> np.ndarray:
@@ -154,32 +154,86 @@ def _best_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return (scores > 0) & ((scores > least) | (tie & (np.cumsum(tie, axis=0) <= k - (scores > least).sum(axis=0))))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], blocks: list[_Questions], runs: list[bool], k: int) -> Iterator[pa.RecordBatch]:
-    """(run, question_id, chunk_id, score): the ``k`` best of a task for each question; a run counts different terms or all."""
-    held: dict[tuple[int, int], pa.Table] = {}
+class _Best:
+    """The ``k`` best rows (q, score, chunk_id) of each question so far; new rows wait until they are as many as those held."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.held, self.waiting, self.n = k, None, [], 0
+        self.least, self.last = np.zeros(questions), None
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores of some rows, by rising id, for all questions."""
+        pick = (scores > 0) & (scores >= self.least)
+        if self.last is not None:
+            pick &= (scores > self.least) | (ids.to_numpy(zero_copy_only=False)[:, None] < self.last)
+        if np.count_nonzero(pick) > _BLOCK:
+            pick &= _best_rows(scores, self.k)
+        i, q = np.nonzero(pick)
+        self.waiting.append(pa.table({"q": q, "score": scores[i, q], "chunk_id": ids.take(pa.array(i))}))
+        self.n += len(q)
+        if self.n > max(_WAITING, 0 if self.held is None else self.held.num_rows):
+            self.rows()
+
+    def rows(self) -> pa.Table | None:
+        if self.waiting:
+            both = pa.concat_tables([*([] if self.held is None else [self.held]), *self.waiting])
+            both = both.sort_by([("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+            q = both.column("q").to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = place == self.k - 1
+            self.least[q[full]] = both.column("score").to_numpy()[full]
+            if pa.types.is_integer(both.schema.field("chunk_id").type):
+                self.last = np.full(len(self.least), np.iinfo(np.int64).max)
+                self.last[q[full]] = both.column("chunk_id").to_numpy()[full]
+            self.held, self.waiting, self.n = both.filter(pa.array(place < self.k)).combine_chunks(), [], 0
+        return self.held
+
+
+def _spans(sizes: np.ndarray, most: int, rows: int) -> Iterator[slice]:
+    """Rows in spans of at most ``rows`` whose ``sizes`` sum to ``most``, or one that is larger."""
+    upto, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while first < len(sizes):
+        last = min(first + rows, max(first + 1, int(np.searchsorted(upto, upto[first] + most, side="right")) - 1))
+        yield slice(first, last)
+        first = last
+
+
+def _scored(batches: Iterator[pa.RecordBatch], asked: _Questions, runs: list[bool], k: int) -> Iterator[pa.RecordBatch]:
+    """(run, question_id, chunk_id, score): the ``k`` best of a task for each question; a run counts different terms or all.
+
+    A term that stands in a row is added to the questions that ask for it, so
+    work follows the matches; memory is bounded by spans of rows.
+    """
+    n, span = len(asked.ids), np.diff(asked.starts)
+    if not n:
+        return
+    best = [_Best(n, k) for _ in runs]
     for whole in batches:
-        whole = whole.take(pc.sort_indices(whole, sort_keys=[("chunk_id", "ascending")])) if whole.num_rows else whole
-        for at, block in enumerate(blocks):
-            width = max(1, _CELLS // max(1, len(block.terms)))
-            for first in range(0, whole.num_rows, width):
-                batch = whole.slice(first, width)
-                words = batch.column("terms")
-                term = pc.index_in(words.flatten(), value_set=block.terms)
-                row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
-                known = term.is_valid().to_numpy(zero_copy_only=False)
-                cell = row[known] * len(block.terms) + term.drop_null().to_numpy()
-                counts = np.bincount(cell, minlength=batch.num_rows * len(block.terms)).reshape(batch.num_rows, -1).astype(np.float32)
+        order = pc.sort_indices(whole.column("chunk_id"))
+        lengths = pc.list_value_length(whole.column("terms")).fill_null(0).to_numpy(zero_copy_only=False)[order.to_numpy()]
+        for words in _spans(lengths, _WORDS, len(lengths)):
+            batch = whole.take(order[words])
+            lists, ids = batch.column("terms"), batch.column("chunk_id")
+            term = pc.index_in(lists.flatten(), value_set=asked.terms)
+            known = term.is_valid().to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)[known]
+            cell, count = np.unique(row * len(span) + term.drop_null().to_numpy(), return_counts=True)
+            row, term = np.divmod(cell, len(span))
+            work = np.bincount(row, weights=span[term], minlength=len(ids)).astype(np.int64)
+            for part in _spans(work, _WORDS, max(1, _CELLS // n)):
+                some = slice(*np.searchsorted(row, [part.start, part.stop]))
+                times, tf = span[term[some]], count[some].astype(np.float64)
+                ends = np.cumsum(times)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(asked.starts[term[some]] - ends + times, times)
+                place = np.repeat((row[some] - part.start) * n, times) + asked.asked[at]
                 for run, different in enumerate(runs):
-                    scores = (counts > 0).astype(np.float32) @ block.has if different else counts.astype(np.float64) @ block.has.astype(np.float64)
-                    i, q = np.nonzero(_best_rows(scores, k))
-                    new = pa.table({"q": q, "score": scores[i, q].astype(np.float64), "chunk_id": batch.column("chunk_id").take(pa.array(i))})
-                    both = pa.concat_tables([held[run, at], new]) if (run, at) in held else new
-                    both = both.sort_by([("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
-                    order = both.column("q").to_numpy()
-                    held[run, at] = both.filter(pa.array(np.arange(len(order)) - np.searchsorted(order, order) < k)).combine_chunks()
-    for (run, at), rows in held.items():
-        for part in rows.to_batches(max_chunksize=_BLOCK):
-            cols = [pa.repeat(pa.scalar(run, pa.int32()), part.num_rows), blocks[at].ids.take(part.column("q")), part.column("chunk_id"), part.column("score")]
+                    weights = None if different else np.repeat(tf, times)
+                    scores = np.bincount(place, weights=weights, minlength=(part.stop - part.start) * n).reshape(-1, n).astype(np.float64, copy=False)
+                    best[run].add(scores, ids.slice(part.start, part.stop - part.start))
+    for run, found in enumerate(best):
+        rows = found.rows()
+        for part in rows.to_batches(max_chunksize=_BLOCK) if rows is not None else ():
+            cols = [pa.repeat(pa.scalar(run, pa.int32()), part.num_rows), asked.ids.take(part.column("q")), part.column("chunk_id"), part.column("score")]
             yield pa.RecordBatch.from_arrays(cols, names=["run", "question_id", "chunk_id", "score"])
 
 
@@ -192,12 +246,12 @@ def lexical_runs(questions: DataFrame, chunks: DataFrame, k: int, scorings: list
     """
     asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     slices = max(1, -(-asked.count() // QUERY_TERMS))
-    rows = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
+    # stop words are no question's, so they need not be left out here
+    rows = chunks.select("chunk_id", words(F.col("text")).alias("terms"))
     schema = StructType([StructField("run", IntegerType()), asked.schema["question_id"], chunks.schema["chunk_id"], StructField("score", DoubleType())])
     different, found = [x == "distinct" for x in scorings], None
     for part in range(slices):
-        blocks = _question_blocks(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == part).toArrow())
-        shared = questions.sparkSession.sparkContext.broadcast(blocks)
+        shared = questions.sparkSession.sparkContext.broadcast(_questions(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == part).toArrow()))
         made = rows.mapInArrow(lambda it, shared=shared: _scored(it, shared.value, different, k), schema)
         found = made if found is None else found.unionByName(made)
     order = Window.partitionBy("run", "question_id").orderBy(F.desc("score"), "chunk_id")
