@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from veriscope.operators import chunking as C
 from veriscope.operators import retrieval as R
 
 
@@ -67,3 +68,13 @@ def test_lexical_memory_of_many_questions():
             want = sorted((-s, int(c)) for s, c in zip(score, ids, strict=True) if s)[:k]
             assert sorted(got.get((run, q), [])) == want
     assert peak < 60e6 and len(pickle.dumps(blocks)) < 3e6  # what each worker holds: questions, not questions by terms
+
+
+def test_sentence_chunks_of_a_large_batch():
+    texts = pa.array([None, "", *(f"{i}. " + "One two three. " * 400 for i in range(3000))])
+    tracemalloc.start()
+    made = C._lists(texts, lambda t: C._by_sentences(t, 1000, 150))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == len(texts) and peak < 5e6  # of 18 MB of text
+    assert made[0].as_py() == [] and all(made[i].as_py() == C._by_sentences(texts[i].as_py(), 1000, 150) for i in range(1, len(texts), 100))
