@@ -22,24 +22,39 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 REPLICATES = 5000
 #: Values of a block, draws that are made at once, and tasks at most that a block's replicates are dealt to.
-BLOCK, DRAWS, TASKS = 1 << 16, 1 << 18, 64
+BLOCK, DRAWS, TASKS = 1 << 20, 1 << 16, 64
 PRIME = (1 << 31) - 1
 
 
-def _mod(v: np.ndarray) -> np.ndarray:
-    v = (v & PRIME) + (v >> 31)
-    v = (v & PRIME) + (v >> 31)
-    return np.where(v >= PRIME, v - PRIME, v)
+def _fold(v: np.ndarray) -> np.ndarray:
+    """``v`` in place, congruent modulo :data:`PRIME`, and below 2**33 if it was below 2**63."""
+    high = v >> 31
+    v &= PRIME
+    v += high
+    return v
 
 
 def draw(seed: int, b: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The k-th draw, below 2**31 - 1, of replicate b; :data:`DRAW_SQL` is the same in SQL."""
-    x = _mod(seed * 1000003 + b * 48271 + 1)
-    y = _mod(x * 16807 + k * 69621 + 7)
-    z = _mod(y * y + x)
-    u = _mod(z * 48271 + y)
-    v = _mod(u * u + z)
-    return _mod(v * 69621 + u)
+    """The k-th draw, below 2**31 - 1, of replicate b; :data:`DRAW_SQL` is the same in SQL.
+
+    Values between are congruent to the SQL's and small enough for the next
+    step; the last one alone is brought below the prime.
+    """
+    x = (seed * 1000003 + b * 48271 + 1) % PRIME
+    y = _fold(_fold(x * 16807 + (k * 69621 + 7)))  # below 2**31 + 1
+    z = y * y
+    z += x
+    _fold(_fold(z))
+    y += z * 48271
+    u = _fold(_fold(y))
+    v = u * u
+    v += z
+    _fold(_fold(v))
+    v *= 69621
+    v += u
+    _fold(_fold(v))
+    v[v >= PRIME] -= PRIME
+    return v
 
 
 #: Select items that end in ``drawn``, the draw of a row's ``b`` and ``k``.
@@ -63,7 +78,7 @@ def _sums(series: DataFrame, keys: list[str], replicates: int, seed: int, order:
     values = F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: x["value"].cast("double"))
     blocks = rows.groupBy(*keys, "n", block.alias("block")).agg(values.alias("v"))
     # replicates of a series are dealt in runs of about as many draws each
-    run = F.least(F.lit(replicates), F.greatest(F.floor(F.lit(16 * DRAWS) / F.col("n")), F.lit(-(-replicates // TASKS)))).cast("int")
+    run = F.least(F.lit(replicates), F.greatest(F.floor(F.lit(64 * DRAWS) / F.col("n")), F.lit(-(-replicates // TASKS)))).cast("int")
     work = blocks.withColumn("run", run).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("run"))))
     work = work.repartition(*keys, "block", "first")
     schema = StructType([*(rows.schema[k] for k in keys), StructField("b", LongType()), StructField("n", LongType()), StructField("s", DoubleType())])
@@ -83,7 +98,9 @@ def _sums(series: DataFrame, keys: list[str], replicates: int, seed: int, order:
                         continue
                     total = np.zeros(len(some))
                     for k in range(0, n, DRAWS):
-                        j = draw(seed, some, np.arange(k, min(k + DRAWS, n))[None]) % n - at * BLOCK
+                        j = draw(seed, some, np.arange(k, min(k + DRAWS, n))[None])
+                        j -= j // n * n  # NumPy divides by one number faster than it takes remainders
+                        j -= at * BLOCK
                         if n > BLOCK:
                             inside = (j >= 0) & (j < len(v))
                             total += np.where(inside, v[np.where(inside, j, 0)], 0.0).sum(axis=1)
